@@ -11,7 +11,7 @@ out, the source range it came from:
 
 The base detectors then read the rewritten text, and each hit is mapped back to
 source characters.  A mapped hit is added if its source differs from what the
-detector read and no span of the same kind overlaps it; base spans are never
+detector read and no base span of the same kind covers it; base spans are never
 changed.  All work is linear in the text.
 
 Defined results: offsets are code points of the source, end exclusive; a null
@@ -263,8 +263,8 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
         if text[start:end] == tape.text[a:b]:
             continue  # read the same way by the base detectors, or cut by its surroundings there
         own = taken[kind]
-        i = bisect.bisect_left(own, (start, start))
-        if (i == len(own) or own[i][0] >= end) and (i == 0 or own[i - 1][1] <= start):
+        i = bisect.bisect_right(own, (start, len(text)))
+        if i == 0 or own[i - 1][1] < end:
             own.insert(i, (start, end))
             added.append((kind, start, end))
     return base, sorted(added, key=lambda s: (s[1], KINDS.index(s[0])))
