@@ -173,6 +173,13 @@ def _null_safe(left: DataFrame, right: DataFrame, small: bool) -> DataFrame:
     return left.alias("l").join(r, F.col("l.row").eqNullSafe(F.col("r.row")) & F.col("l.key").eqNullSafe(F.col("r.key")), "left_semi")
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """docs without the rows that share a window with an item; by id, so that all rows of a contaminated id go."""
+    hit = contamination(docs.where(F.col(key).isNotNull()), items, key, text, item_key, item_text).where("n_hit > 0").select(key).distinct()
+    hit, few = _small(hit)
+    return docs.join(F.broadcast(hit) if few else hit, key, "left_anti").select(*docs.columns)
+
+
 def digests(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     found = contamination(docs, items, key, text, item_key, item_text)
     return found.select(key, "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
