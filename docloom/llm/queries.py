@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, decontaminate, jaccard, langid, pii, quality_model, quality_rules, sharding, warc
+from docloom.llm import bpe, decontaminate, html_extract, jaccard, langid, pii, quality_model, quality_rules, sharding, warc
 from docloom.llm.common import held_out, id_crc, read
 
 #: The rank file of the BPE query.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.digests(read(spark, sf_dir, "pages"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = quality_model.fit(docs, labels, id_crc() % 5 != 0)
@@ -91,7 +95,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality_classifier, op3_language_id, op4_warc_revisits, op5_ngram_jaccard, op6_sharding, op7_bpe, op8_pii, op9_decontamination, op10_quality_rules)
+    f.__name__: f for f in (op1_html_extraction, op2_quality_classifier, op3_language_id, op4_warc_revisits, op5_ngram_jaccard, op6_sharding, op7_bpe, op8_pii, op9_decontamination, op10_quality_rules)
 }
 
 _CURL = r"""
