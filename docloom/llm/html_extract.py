@@ -28,7 +28,6 @@ import pickle
 import re
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -372,11 +371,13 @@ def _wrappers(pages: DataFrame) -> DataFrame:
     n = chosen.count()
     picked = hashed.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, ["host", "h"], "left_semi").dropDuplicates(["host", "h"])
 
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        made = induce(group.sort_values("h")["html"])
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [pickle.dumps(made)]} if made is not None else {"host": [], "wrapper": []})
+    def learn(group: pa.Table) -> pa.Table:
+        ordered = group.sort_by("h")
+        made = induce(ordered.column("html").to_pylist())
+        rows = [{"host": ordered.column("host")[0].as_py(), "wrapper": pickle.dumps(made)}] if made is not None else []
+        return pa.Table.from_pylist(rows, schema=pa.schema([("host", pa.string()), ("wrapper", pa.binary())]))
 
-    return cut(picked.groupBy("host").applyInPandas(learn, "host string, wrapper binary"))
+    return cut(picked.groupBy("host").applyInArrow(learn, "host string, wrapper binary"))
 
 
 def main_text(df: DataFrame, url: str = "url", page: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
