@@ -37,7 +37,7 @@ CHUNK = 1 << 16
 MAX_RANK_BYTES = 64 << 20
 
 # White space as the library's regular expressions know it (Unicode White_Space).
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # Every alternative of the split pattern ends before white space that follows another
 # character, and before an ASCII mark that follows a letter.
 _SAFE = re.compile(f"(?<=[^{_WS}])(?=[{_WS}])|(?<=[A-Za-zぁ-ゖ一-鿿가-힣])(?=[!-/:-@\\[-`{{-~])")

@@ -97,10 +97,10 @@ _LOOK_ALIKES = {
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "օ": "o", "ո": "n", "ս": "u", "ց": "g", "ı": "i", "ɡ": "g", "ɑ": "a",
-    "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "﹣": "-", "․": ".", "。": ".", "｡": ".", "﹒": ".", "﹫": "@", " ": " ", " ": " ", " ": " ", " ": " ",
+    "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "﹣": "-", "․": ".", "。": ".", "｡": ".", "﹒": ".", "﹫": "@", "\u00a0": " ", "\u2007": " ", "\u202f": " ", "\u2009": " ",
 }
 # Characters that show nothing.
-_INVISIBLE = "­​‌‍⁠﻿"
+_INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 # The words of digits in English, German, French and Spanish.
 _DIGIT_WORDS = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",

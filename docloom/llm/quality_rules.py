@@ -19,8 +19,10 @@ repeated results and count each time; an empty table gives an empty table.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -50,11 +52,10 @@ class Words:
 
 
 def number_words(texts: list[bytes]) -> Words:
-    known: dict[bytes, int] = {}
-    number = known.setdefault
+    known: defaultdict[bytes, int] = defaultdict(count().__next__)  # numbers words as they come
     out, start = [], [0]
     for b in texts:
-        out += [number(w, len(known)) for w in b.split()]
+        out += map(known.__getitem__, b.split())
         start.append(len(out))
     return Words(np.array(out, dtype=np.int64), np.array(start), np.fromiter(map(zlib.crc32, known), dtype=np.uint64, count=len(known)))
 
