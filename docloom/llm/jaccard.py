@@ -18,12 +18,14 @@ text of fewer words has one shingle, the whole sequence.  Two documents link whe
 5. Each candidate pair is verified once, on whole sets.
 
 A list may be very long when many documents are near copies of each other, so a
-list is never expanded into all its pairs.  In STARS rounds each list pairs its
-members with one pivot only; the links found merge into components; and the last
-round pairs only members of different components, all of them.  Long lists are
-salted into parts by a hash of the member, each with a pivot of its own, and the
-pivots of the parts are paired with one of them.  So no link between different
-components is lost, and components are those of the complete join.
+list is never put out as all its pairs.  First each list compares its members
+with one of them only, the one nearest to what they share; the links found merge
+into components.  Then members of different components are compared, all of
+them, in strips within a task; only pairs that pass the filters leave it.  Long
+lists are salted into parts by a hash of the member: each part has a first
+member of its own, these are compared with one of them, and later every two
+parts meet in a block of their own.  So no link between different components is
+lost, and components are those of the complete join.
 
 Defined results: a null or empty text, or one without words, has an empty set and
 links with nothing; a null id takes no part and has a null component; rows that
@@ -34,12 +36,14 @@ gives an empty table.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.llm.common import BROADCAST_ROWS, cut, map_texts
@@ -50,7 +54,6 @@ PERCENT = 85
 TABLE = 1 << 20
 BLOCK = 1 << 14
 BINS = 64
-STARS = 2
 #: Members of a list beyond which it is salted.
 LIST = 4096
 
@@ -65,11 +68,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], size: int = SIZE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes (uint64) of each text."""
-    known: dict[bytes, int] = {}
-    number = known.setdefault
+    known: defaultdict[bytes, int] = defaultdict(count().__next__)  # numbers words as they come
     numbers, starts = [], [0]
     for t in texts:
-        numbers += [number(w, len(known)) for w in (t or "").encode("utf-8", "replace").lower().split()]
+        numbers += map(known.__getitem__, (t or "").encode("utf-8", "replace").lower().split())
         starts.append(len(numbers))
     word = np.fromiter(map(xxhash.xxh3_64_intdigest, known), dtype=np.uint64, count=len(known))[np.array(numbers, dtype=np.int64)]
     n = max(0, len(word) - size + 1)
@@ -103,20 +105,25 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TABLE.bit_length() + 1)).astype(np.int64)
 
 
+def _bins(s: np.ndarray) -> bytes:
+    """The sizes of a set's parts between fixed pivots, a byte each; 255 stands for more, which only weakens the bound."""
+    return np.minimum(np.bincount((_mixed(s) >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def _signatures(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, sig) of each row, kept in the shared folder, and the table of frequencies."""
+    """(id, n, sig, bins) of each row, kept in the shared folder, and the table of frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(TABLE, dtype=np.int64)
-        kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+        kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bins", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
         for part in batches:
             sets = shingle_sets(part.column("text").to_pylist(), size)
             counts += np.bincount(_cells(np.concatenate(sets)), minlength=TABLE)
-            cols = [part.column("id"), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())]
+            cols = [part.column("id"), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(_bins, sets), pa.binary())]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=kind)
         blocks = [i for i in range(TABLE // BLOCK) if counts[i * BLOCK : (i + 1) * BLOCK].any()]
         packed = [pa.compress(counts[i * BLOCK : (i + 1) * BLOCK].astype("<u4"), "zstd", asbytes=True) for i in blocks]
-        none = [pa.nulls(len(blocks), t) for t in (pa.int64(), pa.int64(), pa.binary())]
+        none = [pa.nulls(len(blocks), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], schema=kind)
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,16 +139,19 @@ def _signatures(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 total += np.frombuffer(pa.decompress(packed, BLOCK * 4, "zstd", asbytes=True), dtype="<u4")
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"])
 
-    made = cut(docs.mapInArrow(sliced, "id long, n long, sig binary, block int, counts binary"))
+    made = cut(docs.mapInArrow(sliced, "id long, n long, sig binary, bins binary, block int, counts binary"))
     table = np.zeros(TABLE, dtype=np.int64)
     blocks = made.where("block is not null").select("block", "counts").repartition(F.col("block"))
     for block, counts in blocks.mapInArrow(add, "block int, counts binary").collect():
         table[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(counts), dtype=np.int64)
-    return made.where("block is null").select("id", "n", "sig"), table
+    return made.where("block is null").select("id", "n", "sig", "bins"), table
 
 
 def _postings(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(token, salt, id, n, pos) of the prefix of each document; pos counts from 0 in the rare-first order."""
+    """(token, salt, parts, id, n, pos) of the prefix of each document.
+
+    pos counts from 0 in the rare-first order; salt is the part of its list that a document is in, of parts.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(np.minimum(table, 2**32 - 1).astype(np.uint32))
     usual = int(np.median(table))
 
@@ -151,7 +161,7 @@ def _postings(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> Da
         counts, seen = shared.value, set()
         for part in slices(batches, "text"):
             ids, sets = part.column("id").to_pylist(), shingle_sets(part.column("text").to_pylist(), size)
-            cols: list[list[np.ndarray]] = [[], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for i, s in zip(ids, sets, strict=True):
                 # A row that stands here many times is put out once for each partition.
                 mark = (i, len(s), int(s[0]) if len(s) else 0)
@@ -161,13 +171,13 @@ def _postings(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> Da
                 frequency = counts[_cells(s)]
                 first = np.lexsort((s, frequency))[: prefix_length(len(s), percent)]
                 parts = 1 + np.maximum(0, frequency[first].astype(np.int64) - 2 * usual) // LIST
-                for col, x in zip(cols, (s[first].view(np.int64), hash_id(i) % parts, np.full(len(first), i), np.full(len(first), len(s)), np.arange(len(first))), strict=True):
+                for col, x in zip(cols, (s[first].view(np.int64), hash_id(i) % parts, parts, np.full(len(first), i), np.full(len(first), len(s)), np.arange(len(first))), strict=True):
                     col.append(x)
             if cols[0]:
                 flat = [np.concatenate(c) for c in cols]
-                yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int64)), pa.array(flat[3].astype(np.int32)), pa.array(flat[4].astype(np.int32))], names=["token", "salt", "id", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), pa.array(flat[3].astype(np.int64)), pa.array(flat[4].astype(np.int32)), pa.array(flat[5].astype(np.int32))], names=["token", "salt", "parts", "id", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, salt int, id long, n int, pos int")
+    return docs.mapInArrow(run, "token long, salt int, parts int, id long, n int, pos int")
 
 
 def hash_id(i: int) -> int:
@@ -175,47 +185,121 @@ def hash_id(i: int) -> int:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(id, set, bins): the whole set, and the sizes of its parts between fixed pivots."""
+    """(id, set): the whole set of each row."""
 
     def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(part.column("text").to_pylist(), size)
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        bins = np.concatenate([np.bincount((_mixed(s) >> np.uint64(58)).astype(np.int64), minlength=BINS) for s in sets]).astype(np.int32)
-        values = np.concatenate(sets).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), pa.ListArray.from_arrays(pa.array(np.arange(0, len(bins) + 1, BINS, dtype=np.int32)), pa.array(bins))],
-            names=["id", "set", "bins"],
-        )
+        yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "set"])
 
-    return map_texts(docs, "id long, set array<long>, bins array<int>", work)
+    return map_texts(docs, "id long, set array<long>", work)
 
 
 def _bounded(n: int, df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
-def _needed(n: Column, m: Column, percent: int) -> Column:
-    return F.ceil((n + m) * percent / F.lit(100 + percent))
+class Lists:
+    """Rows of inverted lists, a list after the other."""
+
+    names = ("id", "n", "pos", "comp")
+
+    def __init__(self, batch: pa.RecordBatch, keys: list[str]):
+        column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        self.id, self.n, self.pos, self.comp = (column(c).astype(np.int64) for c in self.names)
+        self.bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        self.keys = np.stack([column(k).astype(np.int64) for k in keys], axis=1)
+
+    def near(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Which of the pairs of rows (i, j) pass the component test and the length, positional and suffix filters."""
+        n, m, p, q = self.n[i], self.n[j], self.pos[i], self.pos[j]
+        ok = (self.comp[i] != self.comp[j]) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent)
+        # Tokens before either position can match each other: at most min(p, q) of them.
+        most = np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1)
+        ok &= most * (100 + percent) >= (n + m) * percent
+        at = np.flatnonzero(ok)
+        for k in range(0, len(at), 1 << 18):
+            part = at[k : k + (1 << 18)]
+            x, y = self.bins[i[part]], self.bins[j[part]]
+            # Sizes of parts differ by at most what the sets do not share.
+            apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+            ok[part] = (n[part] + m[part] - apart) * (100 + percent) >= 2 * (n[part] + m[part]) * percent
+        return ok
 
 
-def _passes(percent: int, a: str, b: str) -> Column:
-    """The length and the positional filter of two postings of one token."""
-    n, m, i, j = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.pos"), F.col(f"{b}.pos")
-    fits = (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-    # Tokens before either position can match each other: at most min(i, j) of them.
-    most = F.least(i, j) + 1 + F.least(n - i - 1, m - j - 1)
-    return fits & (most * (100 + percent) >= (n + m) * percent)
+def _star(rows: Lists, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each member against the first of its list."""
+    head = np.repeat(bounds[:-1], np.diff(bounds))
+    i = np.flatnonzero(head != np.arange(len(head)))
+    ok = rows.near(i, head[i], percent)
+    return i[ok], head[i][ok]
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-    small = sets.select("id", F.size("set").alias("n"), "bins")
-    sized = pairs.join(small.toDF("a", "n", "bins"), "a").join(small.toDF("b", "m", "other"), "b")
-    apart = F.aggregate(F.zip_with("bins", "other", lambda x, y: F.abs(x - y)), F.lit(0), lambda acc, x: acc + x)
-    sized = sized.where(((F.col("n") + F.col("m") - apart) / 2 * (100 + percent)) >= (F.col("n") + F.col("m")) * percent).select("a", "b")
-    whole = sets.select("id", "set")
-    met = sized.join(whole.toDF("a", "one"), "a").join(whole.toDF("b", "two"), "b")
+def _across(rows: Lists, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Members of different components of a list, or of the two parts of a list that a block holds, against each other.
+
+    All members stand against those outside the list's largest component, in strips of bounded size.
+    """
+    side = rows.keys[:, -1]
+    left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        comps, own, size = np.unique(rows.comp[a:b], return_inverse=True, return_counts=True)
+        if len(comps) < 2:
+            continue
+        rest = a + np.flatnonzero(own != size.argmax())
+        strip = max(1, (1 << 20) // (b - a))
+        for k in range(0, len(rest), strip):
+            i, j = (x.ravel() for x in np.meshgrid(rest[k : k + strip], np.arange(a, b), indexing="ij"))
+            fresh = (rows.comp[i] < rows.comp[j]) | (own[j - a] == size.argmax())
+            fresh &= (side[i] != side[j]) | (side[i] < 0)
+            i, j = i[fresh], j[fresh]
+            ok = rows.near(i, j, percent)
+            left.append(i[ok])
+            right.append(j[ok])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _list_pairs(rows: DataFrame, keys: list[str], order: list[str], percent: int, pairing, extra: list[str] = []) -> DataFrame:  # noqa: B006
+    """The distinct pairs (a < b) that pairing finds in lists; rows of a list meet in one task, which holds a batch and a list."""
+    arranged = rows.select(*keys, *extra, *Lists.names, "bins").repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
+    used = keys + extra
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not table.num_rows:
+                return
+            lists = Lists(table.combine_chunks().to_batches()[0], used)
+            k = lists.keys[:, : len(keys)]
+            bounds = np.concatenate([[0], 1 + np.flatnonzero((k[1:] != k[:-1]).any(axis=1)), [len(k)]])
+            i, j = pairing(lists, bounds, percent)
+            a, b = np.minimum(lists.id[i], lists.id[j]), np.maximum(lists.id[i], lists.id[j])
+            both = np.unique(np.stack([a, b], axis=1)[a < b], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = [held.column(k)[held.num_rows - 1].as_py() for k in keys]
+            if not held.num_rows or [held.column(k)[0].as_py() for k in keys] == last:
+                continue
+            same = np.ones(held.num_rows, dtype=bool)
+            for k, v in zip(keys, last, strict=True):
+                same &= held.column(k).to_numpy() == v
+            cut_at = int(np.argmax(same))
+            yield from pairs(held.slice(0, cut_at))
+            held = held.slice(cut_at)
+        if held is not None:
+            yield from pairs(held)
+
+    return arranged.mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
+    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    sets = _sets(docs.join(_bounded(wanted.count(), wanted), "id", "left_semi"), size)
+    met = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
     common = F.size(F.array_intersect("one", "two"))
     return met.where(common * 100 >= (F.size("one") + F.size("two") - common) * percent).select("a", "b").distinct()
 
@@ -232,35 +316,33 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     n_others = others.count()
     own = docs.where(F.col("id").isNotNull()).join(_bounded(n_others, others), "id", "left_anti")
 
-    # The lists; every consumer below needs all columns, so the exchange is made once.
-    post = _postings(own, table, size, percent).repartition("token", "salt")
-    parts = post.groupBy("token", "salt").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max(F.col("n") + F.col("pos")).alias("x"))
-    tokens = parts.groupBy("token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("token")
-    lists = cut(post.join(tokens, "token"))
-    involved = lists.select("id").distinct()
-    n_involved = involved.count()
-    sets = cut(_sets(own.join(_bounded(n_involved, involved), "id", "left_semi"), size).dropDuplicates(["id", "set"]))
+    # The lists that hold two documents; one in parts may have its others in another part.
+    group = Window.partitionBy("token", "salt")
+    post = _postings(own, table, size, percent).withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group))
+    lists = post.where("parts > 1 or lo < hi").drop("lo", "hi")
+    bins = live.select("id", "n", "bins").distinct()
+    lists = cut(lists.join(bins, ["id", "n"]))
 
     links = cut(copies.where("least < most").select(F.col("least").alias("a"), F.col("most").alias("b")).union(member.join(copies.where("least < most"), "id").select(F.col("rep"), F.col("least"))).distinct())
     merged = components(links)
-    for star in range(STARS + 1):
+    for last in (False, True):
         placed = lists.join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         open_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        placed = cut(placed.join(open_lists, "token"))
-        if star < STARS:
-            one = F.min(F.struct(F.xxhash64(F.lit(star), "id").alias("h"), "id", "n", "pos", "comp"))
-            pivots = placed.groupBy("token", "salt").agg(one.alias("p")).select("token", "salt", "p.*")
-            heads = pivots.groupBy("token").agg(F.min(F.struct("h", "id", "n", "pos", "comp")).alias("p")).select("token", "p.*")
-            pairs = [("a", placed, "b", pivots, ["token", "salt"]), ("a", pivots, "b", heads, ["token"])]
+        placed = placed.join(open_lists, "token")
+        if not last:
+            # The member with the fewest rarer tokens is nearest to what the others share.
+            placed = cut(placed)
+            near = _list_pairs(placed, ["token", "salt"], ["pos", "id"], percent, _star)
+            heads = placed.where("parts > 1").groupBy("token", "salt").agg(F.min(F.struct("pos", "id", "n", "comp", "bins")).alias("h")).select("token", "salt", "h.*")
+            near = near.union(_list_pairs(heads, ["token"], ["pos", "id"], percent, _star))
         else:
-            pairs = [("a", placed, "b", placed, ["token"])]
-        found = None
-        for x, left, y, right, on in pairs:
-            met = left.alias(x).join(right.alias(y), [F.col(f"{x}.{c}") == F.col(f"{y}.{c}") for c in on])
-            order = F.col("a.comp") != F.col("b.comp") if star < STARS else F.col("a.comp") < F.col("b.comp")
-            met = met.where(order & _passes(percent, x, y)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-            found = met if found is None else found.union(met)
-        links = cut(links.union(_verified(found, sets, percent)).distinct())
+            # Every two parts of a list meet in a block of their own; parts are -1 where a list has but one.
+            other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+            blocks = placed.withColumn("other", other).withColumn("one", F.least("salt", "other")).withColumn("two", F.greatest("salt", "other"))
+            blocks = blocks.withColumn("side", F.when(F.col("one") == F.col("two"), -1).otherwise(F.col("salt")))
+            near = _list_pairs(blocks, ["token", "one", "two"], ["id"], percent, _across, ["side"])
+        near = cut(near.distinct())
+        links = cut(links.union(_verified(near, own, size, percent)).distinct())
         merged = cut(components(links))
     reached = member.join(merged.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.join(reached, "id", "left")
