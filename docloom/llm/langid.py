@@ -157,6 +157,7 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", ke
         return Model(weights, np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
     frequency, n = _document_frequencies(rows.select("text"))
     weights = (np.log((1 + n) / (1 + frequency)) + 1).astype(np.float32)
+    weights[_hashed([""])[0].ravel()] = 0  # n-grams of spaces alone say nothing
     # at is uniform over the longs, so its range is cut at the share of a language's rows that is wanted.
     edge = F.create_map(*[F.lit(x) for name, c in counts.items() for x in (name, min(2**63 - 1, 2**64 * SAMPLE_PER_LANGUAGE // max(c, SAMPLE_PER_LANGUAGE) - 2**63))])
     sample = rows.where(F.col("at") <= edge[F.col("lang")]).select("lang", "at", "text")
