@@ -13,8 +13,9 @@ text of fewer words has one shingle, the whole sequence.  Two documents link whe
 3. Prefixes: a set of n shingles puts its first n - ceil(n * PERCENT / 100) + 1
    into the inverted list; two sets that link share one of these.
 4. Candidates come from the lists under the length and the positional filter,
-   then the suffix filter: both sets are cut at fixed pivots of hash space into
-   BINS parts, whose sizes bound the overlap.
+   then the suffix filter: hash space is cut at fixed pivots into PARTS parts, and
+   the parts in which the sizes of two sets differ in parity bound what the sets
+   do not share.
 5. Each candidate pair is verified once, on whole sets.
 
 A list may be very long when many documents are near copies of each other, so a
@@ -53,7 +54,7 @@ SIZE = 4
 PERCENT = 85
 TABLE = 1 << 20
 BLOCK = 1 << 14
-BINS = 64
+PARTS = 512
 #: Members of a list beyond which it is salted.
 LIST = 4096
 
@@ -105,21 +106,21 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TABLE.bit_length() + 1)).astype(np.int64)
 
 
-def _bins(s: np.ndarray) -> bytes:
-    """The sizes of a set's parts between fixed pivots, a byte each; 255 stands for more, which only weakens the bound."""
-    return np.minimum(np.bincount((_mixed(s) >> np.uint64(58)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+def _parities(s: np.ndarray) -> bytes:
+    """Hash space cut at fixed pivots into PARTS parts: a bit for each, whether the set has an odd number there."""
+    return np.packbits((np.bincount((_mixed(s) >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS) & 1).astype(np.uint8)).tobytes()
 
 
 def _signatures(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, sig, bins) of each row, kept in the shared folder, and the table of frequencies."""
+    """(id, n, sig, parity) of each row, kept in the shared folder, and the table of frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(TABLE, dtype=np.int64)
-        kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("bins", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+        kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("parity", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
         for part in batches:
             sets = shingle_sets(part.column("text").to_pylist(), size)
             counts += np.bincount(_cells(np.concatenate(sets)), minlength=TABLE)
-            cols = [part.column("id"), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(_bins, sets), pa.binary())]
+            cols = [part.column("id"), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(_parities, sets), pa.binary())]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=kind)
         blocks = [i for i in range(TABLE // BLOCK) if counts[i * BLOCK : (i + 1) * BLOCK].any()]
         packed = [pa.compress(counts[i * BLOCK : (i + 1) * BLOCK].astype("<u4"), "zstd", asbytes=True) for i in blocks]
@@ -139,15 +140,15 @@ def _signatures(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 total += np.frombuffer(pa.decompress(packed, BLOCK * 4, "zstd", asbytes=True), dtype="<u4")
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"])
 
-    made = cut(docs.mapInArrow(sliced, "id long, n long, sig binary, bins binary, block int, counts binary"))
+    made = cut(docs.mapInArrow(sliced, "id long, n long, sig binary, parity binary, block int, counts binary"))
     table = np.zeros(TABLE, dtype=np.int64)
     blocks = made.where("block is not null").select("block", "counts").repartition(F.col("block"))
     for block, counts in blocks.mapInArrow(add, "block int, counts binary").collect():
         table[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(counts), dtype=np.int64)
-    return made.where("block is null").select("id", "n", "sig", "bins"), table
+    return made.where("block is null").select("id", "n", "sig", "parity"), table
 
 
-def _postings(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> DataFrame:
+def _postings(docs: DataFrame, table: np.ndarray, size: int, percent: int, part: int) -> DataFrame:
     """(token, salt, parts, id, n, pos) of the prefix of each document.
 
     pos counts from 0 in the rare-first order; salt is the part of its list that a document is in, of parts.
@@ -159,8 +160,8 @@ def _postings(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> Da
         from docloom.llm.common import slices
 
         counts, seen = shared.value, set()
-        for part in slices(batches, "text"):
-            ids, sets = part.column("id").to_pylist(), shingle_sets(part.column("text").to_pylist(), size)
+        for rows in slices(batches, "text"):
+            ids, sets = rows.column("id").to_pylist(), shingle_sets(rows.column("text").to_pylist(), size)
             cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for i, s in zip(ids, sets, strict=True):
                 # A row that stands here many times is put out once for each partition.
@@ -170,7 +171,7 @@ def _postings(docs: DataFrame, table: np.ndarray, size: int, percent: int) -> Da
                 seen.add(mark)
                 frequency = counts[_cells(s)]
                 first = np.lexsort((s, frequency))[: prefix_length(len(s), percent)]
-                parts = 1 + np.maximum(0, frequency[first].astype(np.int64) - 2 * usual) // LIST
+                parts = 1 + np.maximum(0, frequency[first].astype(np.int64) - 2 * usual) // part
                 for col, x in zip(cols, (s[first].view(np.int64), hash_id(i) % parts, parts, np.full(len(first), i), np.full(len(first), len(s)), np.arange(len(first))), strict=True):
                     col.append(x)
             if cols[0]:
@@ -207,7 +208,7 @@ class Lists:
     def __init__(self, batch: pa.RecordBatch, keys: list[str]):
         column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
         self.id, self.n, self.pos, self.comp = (column(c).astype(np.int64) for c in self.names)
-        self.bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS)
+        self.parity = np.frombuffer(b"".join(batch.column("parity").to_pylist()), dtype=np.uint64).reshape(-1, PARTS // 64)
         self.keys = np.stack([column(k).astype(np.int64) for k in keys], axis=1)
 
     def near(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -218,11 +219,10 @@ class Lists:
         most = np.minimum(p, q) + 1 + np.minimum(n - p - 1, m - q - 1)
         ok &= most * (100 + percent) >= (n + m) * percent
         at = np.flatnonzero(ok)
-        for k in range(0, len(at), 1 << 18):
-            part = at[k : k + (1 << 18)]
-            x, y = self.bins[i[part]], self.bins[j[part]]
-            # Sizes of parts differ by at most what the sets do not share.
-            apart = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+        for k in range(0, len(at), 1 << 17):
+            part = at[k : k + (1 << 17)]
+            # Each part whose parity differs holds something that the sets do not share.
+            apart = np.bitwise_count(self.parity[i[part]] ^ self.parity[j[part]]).sum(axis=1, dtype=np.int64)
             ok[part] = (n[part] + m[part] - apart) * (100 + percent) >= 2 * (n[part] + m[part]) * percent
         return ok
 
@@ -261,7 +261,7 @@ def _across(rows: Lists, bounds: np.ndarray, percent: int) -> tuple[np.ndarray,
 
 def _list_pairs(rows: DataFrame, keys: list[str], order: list[str], percent: int, pairing, extra: list[str] = []) -> DataFrame:  # noqa: B006
     """The distinct pairs (a < b) that pairing finds in lists; rows of a list meet in one task, which holds a batch and a list."""
-    arranged = rows.select(*keys, *extra, *Lists.names, "bins").repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
+    arranged = rows.select(*keys, *extra, *Lists.names, "parity").repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
     used = keys + extra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +304,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return met.where(common * 100 >= (F.size("one") + F.size("two") - common) * percent).select("a", "b").distinct()
 
 
-def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, part: int = LIST) -> DataFrame:
     """Per row of df: the key (long), n_shingles and component_id, the smallest key reachable by links."""
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed, table = _signatures(docs, size)
@@ -318,10 +318,10 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
 
     # The lists that hold two documents; one in parts may have its others in another part.
     group = Window.partitionBy("token", "salt")
-    post = _postings(own, table, size, percent).withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group))
+    post = _postings(own, table, size, percent, part).withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group))
     lists = post.where("parts > 1 or lo < hi").drop("lo", "hi")
-    bins = live.select("id", "n", "bins").distinct()
-    lists = cut(lists.join(bins, ["id", "n"]))
+    parity = live.select("id", "n", "parity").distinct()
+    lists = cut(lists.join(parity, ["id", "n"]))
 
     links = cut(copies.where("least < most").select(F.col("least").alias("a"), F.col("most").alias("b")).union(member.join(copies.where("least < most"), "id").select(F.col("rep"), F.col("least"))).distinct())
     merged = components(links)
@@ -333,7 +333,7 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
             # The member with the fewest rarer tokens is nearest to what the others share.
             placed = cut(placed)
             near = _list_pairs(placed, ["token", "salt"], ["pos", "id"], percent, _star)
-            heads = placed.where("parts > 1").groupBy("token", "salt").agg(F.min(F.struct("pos", "id", "n", "comp", "bins")).alias("h")).select("token", "salt", "h.*")
+            heads = placed.where("parts > 1").groupBy("token", "salt").agg(F.min(F.struct("pos", "id", "n", "comp", "parity")).alias("h")).select("token", "salt", "h.*")
             near = near.union(_list_pairs(heads, ["token"], ["pos", "id"], percent, _star))
         else:
             # Every two parts of a list meet in a block of their own; parts are -1 where a list has but one.
