@@ -37,7 +37,7 @@ from docloom.llm.common import map_texts
 
 BUCKETS = 1 << 14
 CENTROIDS = 3
-SAMPLE_PER_LANGUAGE = 1200
+SAMPLE_PER_LANGUAGE = 500
 MAX_LANGUAGES = 256
 RADIUS_SHARE = 0.35
 UND = "und"
@@ -169,7 +169,7 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", ke
             x = vectors([texts[i] for i in group], weights)
             nz = [np.flatnonzero(r) for r in x]
             yield pa.RecordBatch.from_arrays(
-                [part.column("lang").take(pa.array(group)), part.column("at").take(pa.array(group)), pa.array([i.astype("<u2").tobytes() for i in nz], pa.binary()), pa.array([r[i].astype("<f4").tobytes() for r, i in zip(x, nz, strict=True)], pa.binary())],
+                [part.column("lang").take(pa.array(group)), part.column("at").take(pa.array(group)), pa.array([i.astype("<u2").tobytes() for i in nz], pa.binary()), pa.array([r[i].astype("<f2").tobytes() for r, i in zip(x, nz, strict=True)], pa.binary())],
                 names=["lang", "at", "buckets", "numbers"],
             )
 
@@ -181,7 +181,7 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", ke
         picked = sorted(set(found[name]))[: 2 * SAMPLE_PER_LANGUAGE]
         x = np.zeros((len(picked), BUCKETS), dtype=np.float32)
         for i, (_, b, v) in enumerate(picked):
-            x[i, np.frombuffer(b, "<u2")] = np.frombuffer(v, "<f4")
+            x[i, np.frombuffer(b, "<u2")] = np.frombuffer(v, "<f2")
         c = _cluster(x, CENTROIDS)
         least = RADIUS_SHARE * float((x @ c.T).max(axis=1).min())
         for row in c:
