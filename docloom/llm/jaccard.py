@@ -13,9 +13,9 @@ text of fewer words has one shingle, the whole sequence.  Two documents link whe
 3. Prefixes: a set of n shingles puts its first n - ceil(n * PERCENT / 100) + 1
    into the inverted list; two sets that link share one of these.
 4. Candidates come from the lists under the length and the positional filter,
-   then the suffix filter: hash space is cut at fixed pivots into PARTS parts, and
-   the parts in which the sizes of two sets differ in parity bound what the sets
-   do not share.
+   then the suffix filter: hash space is cut at fixed pivots into parts, and the
+   parts in which the sizes of two sets differ in parity bound what the sets do
+   not share; PARTS parts within the lists, then as many as the sets have members.
 5. Each candidate pair is verified once, on whole sets.
 
 A list may be very long when many documents are near copies of each other, so a
@@ -106,25 +106,38 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - TABLE.bit_length() + 1)).astype(np.int64)
 
 
-def _parities(s: np.ndarray) -> bytes:
-    """Hash space cut at fixed pivots into PARTS parts: a bit for each, whether the set has an odd number there."""
-    return np.packbits((np.bincount((_mixed(s) >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64), minlength=PARTS) & 1).astype(np.uint8)).tobytes()
+def _parities(s: np.ndarray, parts: int = PARTS) -> bytes:
+    """Hash space cut at fixed pivots into equal parts: a bit for each, whether the set has an odd number there."""
+    counts = np.bincount((_mixed(s) >> np.uint64(64 - parts.bit_length() + 1)).astype(np.int64), minlength=parts)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
+def _wide(s: np.ndarray) -> bytes:
+    """Parities of as many parts as the set has members, or a little more."""
+    return _parities(s, max(PARTS, 1 << max(0, len(s) - 1).bit_length()))
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """The parts whose parities differ, at the coarser of the two cuts; the finer one's bits fold into it."""
+    small, large = sorted((np.unpackbits(np.frombuffer(v, dtype=np.uint8)) for v in (x, y)), key=len)
+    folded = large.reshape(len(small), -1).sum(axis=1) & 1
+    return int((small != folded).sum())
 
 
 def _signatures(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, sig, parity) of each row, kept in the shared folder, and the table of frequencies."""
+    """(id, n, sig, parity, wide) of each row, kept in the shared folder, and the table of frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(TABLE, dtype=np.int64)
-        kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("parity", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
+        kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("parity", pa.binary()), ("wide", pa.binary()), ("block", pa.int32()), ("counts", pa.binary())])
         for part in batches:
             sets = shingle_sets(part.column("text").to_pylist(), size)
             counts += np.bincount(_cells(np.concatenate(sets)), minlength=TABLE)
-            cols = [part.column("id"), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(_parities, sets), pa.binary())]
+            cols = [part.column("id"), pa.array(map(len, sets), pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(_parities, sets), pa.binary()), pa.array(map(_wide, sets), pa.binary())]
             yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=kind)
         blocks = [i for i in range(TABLE // BLOCK) if counts[i * BLOCK : (i + 1) * BLOCK].any()]
         packed = [pa.compress(counts[i * BLOCK : (i + 1) * BLOCK].astype("<u4"), "zstd", asbytes=True) for i in blocks]
-        none = [pa.nulls(len(blocks), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+        none = [pa.nulls(len(blocks), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], schema=kind)
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +153,12 @@ def _signatures(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 total += np.frombuffer(pa.decompress(packed, BLOCK * 4, "zstd", asbytes=True), dtype="<u4")
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"])
 
-    made = cut(docs.mapInArrow(sliced, "id long, n long, sig binary, parity binary, block int, counts binary"))
+    made = cut(docs.mapInArrow(sliced, "id long, n long, sig binary, parity binary, wide binary, block int, counts binary"))
     table = np.zeros(TABLE, dtype=np.int64)
     blocks = made.where("block is not null").select("block", "counts").repartition(F.col("block"))
     for block, counts in blocks.mapInArrow(add, "block int, counts binary").collect():
         table[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(counts), dtype=np.int64)
-    return made.where("block is null").select("id", "n", "sig", "parity"), table
+    return made.where("block is null").select("id", "n", "sig", "parity", "wide"), table
 
 
 def _postings(docs: DataFrame, table: np.ndarray, size: int, percent: int, part: int) -> DataFrame:
@@ -260,7 +273,7 @@ def _across(rows: Lists, bounds: np.ndarray, percent: int) -> tuple[np.ndarray,
 
 
 def _list_pairs(rows: DataFrame, keys: list[str], order: list[str], percent: int, pairing, extra: list[str] = []) -> DataFrame:  # noqa: B006
-    """The distinct pairs (a < b) that pairing finds in lists; rows of a list meet in one task, which holds a batch and a list."""
+    """The distinct pairs (a, b) that pairing finds in lists; rows of a list meet in one task, which holds a batch and a list."""
     arranged = rows.select(*keys, *extra, *Lists.names, "parity").repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
     used = keys + extra
 
@@ -274,8 +287,7 @@ def _list_pairs(rows: DataFrame, keys: list[str], order: list[str], percent: int
             k = lists.keys[:, : len(keys)]
             bounds = np.concatenate([[0], 1 + np.flatnonzero((k[1:] != k[:-1]).any(axis=1)), [len(k)]])
             i, j = pairing(lists, bounds, percent)
-            a, b = np.minimum(lists.id[i], lists.id[j]), np.maximum(lists.id[i], lists.id[j])
-            both = np.unique(np.stack([a, b], axis=1)[a < b], axis=0)
+            both = np.unique(np.stack([lists.id[i], lists.id[j]], axis=1)[lists.id[i] != lists.id[j]], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:
@@ -295,6 +307,20 @@ def _list_pairs(rows: DataFrame, keys: list[str], order: list[str], percent: int
     return arranged.mapInArrow(run, "a long, b long").distinct()
 
 
+def _sifted(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """(a, b, apart) of the pairs that pass the suffix filter at the cut that suits their sizes."""
+    met = pairs.join(wide.toDF("a", "n", "one"), "a").join(wide.toDF("b", "m", "two"), "b").select("a", "b", "n", "m", "one", "two")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            apart = np.array([_apart(x, y) for x, y in zip(batch.column("one").to_pylist(), batch.column("two").to_pylist(), strict=True)], dtype=np.int64)
+            ok = pa.array((n + m - apart) * (100 + percent) >= 2 * (n + m) * percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(apart).filter(ok)], names=["a", "b", "apart"])
+
+    return met.mapInArrow(run, "a long, b long, apart long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
     wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
@@ -319,29 +345,31 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     # The lists that hold two documents; one in parts may have its others in another part.
     group = Window.partitionBy("token", "salt")
     post = _postings(own, table, size, percent, part).withColumn("lo", F.min("id").over(group)).withColumn("hi", F.max("id").over(group))
-    lists = post.where("parts > 1 or lo < hi").drop("lo", "hi")
+    lists = cut(post.where("parts > 1 or lo < hi").drop("lo", "hi"))
     parity = live.select("id", "n", "parity").distinct()
-    lists = cut(lists.join(parity, ["id", "n"]))
+    wide = live.select("id", "n", "wide").distinct()
 
     links = cut(copies.where("least < most").select(F.col("least").alias("a"), F.col("most").alias("b")).union(member.join(copies.where("least < most"), "id").select(F.col("rep"), F.col("least"))).distinct())
     merged = components(links)
     for last in (False, True):
         placed = lists.join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
         open_lists = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        placed = placed.join(open_lists, "token")
+        placed = cut(placed.join(open_lists, "token"))
         if not last:
             # The member with the fewest rarer tokens is nearest to what the others share.
-            placed = cut(placed)
-            near = _list_pairs(placed, ["token", "salt"], ["pos", "id"], percent, _star)
-            heads = placed.where("parts > 1").groupBy("token", "salt").agg(F.min(F.struct("pos", "id", "n", "comp", "parity")).alias("h")).select("token", "salt", "h.*")
-            near = near.union(_list_pairs(heads, ["token"], ["pos", "id"], percent, _star))
+            near = _list_pairs(placed.join(parity, ["id", "n"]), ["token", "salt"], ["pos", "id"], percent, _star)
+            heads = placed.where("parts > 1").groupBy("token", "salt").agg(F.min(F.struct("pos", "id", "n", "comp")).alias("h")).select("token", "salt", "h.*")
+            near = near.union(_list_pairs(heads.join(parity, ["id", "n"]), ["token"], ["pos", "id"], percent, _star)).distinct()
+            # One nearest pivot for each member; what it does not link to is compared below.
+            near = _sifted(near, wide, percent).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
         else:
             # Every two parts of a list meet in a block of their own; parts are -1 where a list has but one.
             other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
             blocks = placed.withColumn("other", other).withColumn("one", F.least("salt", "other")).withColumn("two", F.greatest("salt", "other"))
-            blocks = blocks.withColumn("side", F.when(F.col("one") == F.col("two"), -1).otherwise(F.col("salt")))
+            blocks = blocks.withColumn("side", F.when(F.col("one") == F.col("two"), -1).otherwise(F.col("salt"))).join(parity, ["id", "n"])
             near = _list_pairs(blocks, ["token", "one", "two"], ["id"], percent, _across, ["side"])
-        near = cut(near.distinct())
+            near = _sifted(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), wide, percent).select("a", "b")
+        near = cut(near)
         links = cut(links.union(_verified(near, own, size, percent)).distinct())
         merged = cut(components(links))
     reached = member.join(merged.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
