@@ -103,3 +103,44 @@ def revision_changes(old: DataFrame, new: DataFrame, key: str, digest: str) -> D
     met = a.join(b, F.col("__a") == F.col("__b"), "full")
     change = F.when(F.col("__a").isNull(), "added").when(F.col("__b").isNull(), "removed").when(F.col("__x") == F.col("__y"), "kept").otherwise("changed")
     return met.select(F.coalesce("__a", "__b").alias(key), change.alias("change"))
+
+
+def many_owners(cited: DataFrame, entry: str, owner: str) -> DataFrame:
+    """(entry, n_owners): entries that cite sources of more than one owner."""
+    return cited.groupBy(entry).agg(F.count_distinct(owner).alias("n_owners")).where("n_owners > 1")
+
+
+def route(read: Column, unresolved: Column, definition: Column, open_rows: Column) -> Column:
+    """record_value, unresolved, definition or scalar_region of a cell, in this order of precedence."""
+    return F.when(read & ~unresolved, "record_value").when(read, "unresolved").when(definition, "definition").when(open_rows, "unresolved").otherwise("scalar_region")
+
+
+def resolve_rows(ranges: DataFrame, rows: DataFrame, key: str, row: str) -> DataFrame:
+    """(key, asked, found, complete) of ranges (key, first, last) over the rows that exist."""
+    asked = ranges.select(key, F.explode(F.sequence("first", "last")).alias(row))
+    met = asked.join(rows.select(key, row, F.lit(1).alias("__hit")).distinct(), [key, row], "left")
+    return met.groupBy(key).agg(F.count("*").alias("asked"), F.count("__hit").alias("found")).withColumn("complete", F.col("asked") == F.col("found"))
+
+
+def collisions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def all_accepted(views: DataFrame, node: str, accepted: Column) -> DataFrame:
+    return views.groupBy(node).agg(F.every(accepted).alias("read"))
+
+
+def continuation_candidates(tables: DataFrame, document: str, order: str, native: str, columns: str) -> DataFrame:
+    """(first, second, confirmed): consecutive tables, confirmed if one native table, else with equal columns."""
+    w = Window.partitionBy(document).orderBy(order)
+    same = F.lead(native).over(w) == F.col(native)
+    met = tables.select(F.col(order).alias("first"), F.lead(order).over(w).alias("second"), same.alias("confirmed"), (F.lead(columns).over(w) == F.col(columns)).alias("__fit"))
+    return met.where(F.col("second").isNotNull() & (F.col("confirmed") | F.col("__fit"))).drop("__fit")
+
+
+def nonrecord(roles: DataFrame, table: str) -> DataFrame:
+    """(table, nonrecord, notes): only notes, subtotals and blanks with one of the first two; only notes and blanks."""
+    r = F.col("role")
+    return roles.groupBy(table).agg(
+        (F.every(r.isin("note", "subtotal", "blank")) & F.bool_or(r.isin("note", "subtotal"))).alias("nonrecord"), (F.every(r.isin("note", "blank")) & F.bool_or(r == "note")).alias("notes")
+    )

@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "docloom-checkpoints"))
-    return df.checkpoint(eager=True)
+from docloom.session import cut
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,14 +14,14 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Each round a node takes the least label around it, then the label of its label, so rounds grow with the
     logarithm of a path's length; state is kept in the shared checkpoint folder after each round.
     """
-    both = _cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct())
+    both = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(b, a)).distinct())
     labels = both.groupBy("u").agg(F.least("u", F.min("v")).alias("l"))
     before = None
     while True:
         least = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
         moved = labels.join(least, "u").select("u", F.least("l", "m").alias("l"))
         jump = moved.select(F.col("u").alias("l"), F.col("l").alias("far"))
-        labels = _cut(moved.join(jump, "l", "left").select("u", F.least("l", F.coalesce("far", "l")).alias("l")))
+        labels = cut(moved.join(jump, "l", "left").select("u", F.least("l", F.coalesce("far", "l")).alias("l")))
         now = labels.agg(F.sum(F.xxhash64("u", "l").cast("decimal(38,0)"))).first()[0]
         if now == before:
             return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))

@@ -101,3 +101,16 @@ def permitted_reads(cells: DataFrame, kinds: dict[str, Column], table: str = "ta
     found = cells.groupBy(table, "col").agg(*every)
     names = F.array_compact(F.array(*(F.when(F.col(f"k_{k}"), F.lit(k)) for k in sorted(kinds))))
     return found.select(table, "col", F.array_join(names, ",").alias("kinds"))
+
+
+def expectation_errors(cells: DataFrame, plan: DataFrame, table: str = "table_id") -> DataFrame:
+    """plan rows (table, row, col, expected) whose cell has other text, with found; null where there is no cell."""
+    at = [table, "row", "col"]
+    met = plan.join(cells.select(*at, F.col("value").alias("found")), at, "left")
+    return met.where(~F.col("found").eqNullSafe(F.col("expected")))
+
+
+def edit_collisions(plan: DataFrame, cells: DataFrame, table: str = "table_id") -> DataFrame:
+    """(table, source, n): physical cells that more than one planned edit reaches, through any place they cover."""
+    covered = grid(cells, table).select(table, F.col("r").alias("row"), F.col("c").alias("col"), "source")
+    return plan.join(covered, [table, "row", "col"]).groupBy(table, "source").agg(F.count("*").alias("n")).where("n > 1")

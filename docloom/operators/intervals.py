@@ -51,3 +51,10 @@ def contained(inner: DataFrame, outer: DataFrame, key: str, start: str = "start"
     """The inner intervals that lie in one of the runs of the outer ones."""
     runs = union(outer, [key], start, end).select(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"))
     return inner.join(runs, (F.col(key) == F.col("__k")) & (F.col(start) >= F.col("__s")) & (F.col(end) <= F.col("__e")), "left_semi")
+
+
+def outermost(df: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
+    """The distinct intervals that no other interval of the key holds: in order of start, those that reach past all before."""
+    before = Window.partitionBy(key).orderBy(F.col(start), F.col(end).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(end).over(before)
+    return df.select(key, start, end).distinct().withColumn("__r", reach).where(F.col("__r").isNull() | (F.col(end) > F.col("__r"))).drop("__r")

@@ -67,3 +67,12 @@ def budget_prefix(df: DataFrame, group: list[str], order: list[str], cost: Colum
     """Rows in order while their running cost stays within the budget; the first overflow ends a group."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("__sum", F.sum(cost).over(w)).where(F.col("__sum") <= budget).drop("__sum")
+
+
+def runs(df: DataFrame, group: str, order: str, key: str, content: str, separator: str = " ") -> DataFrame:
+    """(group, line from 0, key, content): consecutive rows of equal key, joined in order."""
+    w = Window.partitionBy(group).orderBy(order)
+    new = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+    numbered = df.withColumn("__new", new).withColumn("line", F.sum("__new").over(w) - 1)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(content).alias("__c")))), lambda r: r["__c"]), separator)
+    return numbered.groupBy(group, "line").agg(F.min(key).alias(key), joined.alias("content"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 
 GRAM = 8
+BARE_QUOTES = 1000
 
 
 def _with_grams(df: DataFrame, words: str, out: str) -> DataFrame:
@@ -25,8 +26,9 @@ def _with_grams(df: DataFrame, words: str, out: str) -> DataFrame:
 def resolve_quotes(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", text: str = "text", quote_key: str = "item_id", quote: str = "quote") -> DataFrame:
     """(key, quote_key, n, start): exact occurrences of each quote, overlapping ones counted, start of the first from 0.
 
-    Texts and quotes meet on a hash of the quote's first GRAM whole words, so only texts that hold these are searched;
-    quotes with fewer whole words between spaces are searched for in every text.
+    Texts and quotes meet on a hash of the quote's first GRAM whole words, so only texts that hold these are searched.
+    Quotes with fewer whole words meet texts on the longest of these; quotes with none, at most BARE_QUOTES of them,
+    are searched for in every text.
     """
     q = quotes.select(quote_key, F.col(quote).alias("__q")).where(F.length("__q") > 0)
     # The first and the last word of a quote may be cut; those between stand whole in a text that holds it.
@@ -34,13 +36,21 @@ def resolve_quotes(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", text
     inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
     q = q.withColumn("__w", inner)
     long = _with_grams(q.where(F.size("__w") >= GRAM).withColumn("__w", F.slice("__w", 1, GRAM)), "__w", "__gs").withColumn("__g", F.element_at("__gs", 1)).drop("__w", "__gs")
-    short = q.where(F.size("__w") < GRAM).drop("__w")
+    longest = F.array_max(F.transform("__w", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    few = q.where((F.size("__w") < GRAM) & (F.size("__w") > 0)).withColumn("__one", longest).drop("__w")
+    none = q.where(F.size("__w") == 0).drop("__w")
     d = docs.select(key, F.col(text).alias("__t")).where(F.col("__t").isNotNull())
     own = _with_grams(d.select(key, F.split("__t", r"\s+").alias("__w")), "__w", "__gs")
     found = own.select(key, F.explode("__gs").alias("__g")).join(long, "__g").select(key, quote_key, "__q").distinct()
+    if not few.isEmpty():
+        single = d.select(key, F.explode(F.array_distinct(F.split("__t", r"\s+"))).alias("__one"))
+        found = found.unionByName(single.join(few, "__one").select(key, quote_key, "__q"))
     pairs = found.join(d, key)
-    if not short.isEmpty():
-        pairs = pairs.unionByName(d.crossJoin(F.broadcast(short)).select(*pairs.columns))
+    n_bare = none.count()
+    if n_bare > BARE_QUOTES:
+        raise ValueError(f"{n_bare} quotes have no whole word to meet texts on; at most {BARE_QUOTES} can be searched for in all")
+    if n_bare:
+        pairs = pairs.unionByName(d.join(F.broadcast(none), F.contains(F.col("__t"), F.col("__q"))).select(*pairs.columns))
     hits = pairs.where(F.contains("__t", F.col("__q")))
     return hits.select(key, quote_key, X.occurrences(F.col("__t"), F.col("__q")).alias("n"), (F.instr("__t", F.col("__q")) - 1).alias("start"))
 

@@ -140,10 +140,10 @@ def page_counterparts(spark, d):
     return quotes.counterparts(rows, "source", "src0", "src1", "content", "doc_id")
 
 
-@query(r"""SELECT doc_id, regexp_replace(left(text, 2000), '([\\`*_\[\]<>])', '\\\1', 'g') AS content FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(text, '([\\`*_\[\]<>])', '\\\1', 'g') AS content FROM documents""")
 def escaped_markdown(spark, d):
     # No line of the table starts with a list or heading mark.
-    return docs(spark, d).select("doc_id", X.escape_markdown(F.substring("text", 1, 2000)).alias("content"))
+    return docs(spark, d).select("doc_id", X.escape_markdown(F.col("text")).alias("content"))
 
 
 @query("SELECT o_orderkey, replace(replace(o_orderpriority || '/' || o_orderstatus || '~x', '~', '~0'), '/', '~1') AS escaped, o_orderpriority || '/' || o_orderstatus || '~x' AS plain FROM orders")
@@ -371,9 +371,9 @@ def effective_roles(spark, d):
     return grids.effective_roles(cells, heads, listed).withColumn("row", F.col("row").cast("long"))
 
 
-@query(f"SELECT table_id, row, string_agg(CAST(col AS VARCHAR), ',' ORDER BY col) AS cols FROM {CELLS} WHERE row % 4 = 1 AND col IN (3, 4) AND value <> 'O' GROUP BY 1, 2")
+@query(f"SELECT table_id, row, string_agg(CAST(col AS VARCHAR), ',' ORDER BY col) AS cols FROM {CELLS} WHERE row % 4 = 1 AND value <> 'O' GROUP BY 1, 2")
 def blank_row_conflicts(spark, d):
-    cells = order_cells(spark, d).where("col in (3, 4)").withColumn("value", F.when(F.col("value") == "O", " ").otherwise(F.col("value")))
+    cells = order_cells(spark, d).withColumn("value", F.when(F.col("value") == "O", " ").otherwise(F.col("value")))
     roles = order_rows(spark, d).select(F.col("l_orderkey").alias("table_id"), "row", F.when(F.col("row") % 4 == 1, "blank").otherwise("data").alias("role"))
     return grids.blank_conflicts(cells, roles).withColumn("row", F.col("row").cast("long"))
 
@@ -470,16 +470,16 @@ def repeated_statements(spark, d):
     return quotes.repeated_once(rows, ["source", "content"], "k")
 
 
-_POINTERS = f"(SELECT table_id, '/' || table_id || '/' || row || '/' || col AS pointer FROM {CELLS} WHERE table_id < 500)"
+_POINTERS = f"(SELECT table_id, '/' || table_id || '/' || row || '/' || col AS pointer, '/' || table_id || '/' || row AS above FROM {CELLS})"
 
 
 def pointers(spark: SparkSession, d: str) -> DataFrame:
-    return order_cells(spark, d).where("table_id < 500").select("table_id", F.concat(F.lit("/"), F.concat_ws("/", "table_id", "row", "col")).alias("pointer"))
+    return order_cells(spark, d).select("table_id", F.concat(F.lit("/"), F.concat_ws("/", "table_id", "row", "col")).alias("pointer"))
 
 
-@query(f"""SELECT s.scope, p.pointer FROM (SELECT '/' || l_orderkey || '/' || l_linenumber AS scope FROM lineitem WHERE l_orderkey < 500 GROUP BY 1) s JOIN {_POINTERS} p ON p.pointer = s.scope OR starts_with(p.pointer, s.scope || '/')""")
+@query(f"""SELECT s.scope, p.pointer FROM (SELECT '/' || l_orderkey || '/' || l_linenumber AS scope FROM lineitem GROUP BY 1) s JOIN {_POINTERS} p ON p.above = s.scope""")
 def scope_prefix_apply(spark, d):
-    scopes = table(spark, d, "lineitem").where("l_orderkey < 500").select(F.concat(F.lit("/"), F.concat_ws("/", "l_orderkey", "l_linenumber")).alias("scope")).distinct()
+    scopes = table(spark, d, "lineitem").select(F.concat(F.lit("/"), F.concat_ws("/", "l_orderkey", "l_linenumber")).alias("scope")).distinct()
     return C.scope_apply(scopes, pointers(spark, d).select("pointer"))
 
 
@@ -552,10 +552,10 @@ def interval_union(spark, d):
 @query(
     f"""WITH p AS (SELECT k, s AS v FROM {_SPANS} UNION SELECT k, e FROM {_SPANS} UNION SELECT DISTINCT k, 0 FROM {_SPANS} UNION SELECT DISTINCT k, 5000 FROM {_SPANS}),
 g AS (SELECT k, v AS lo, lead(v) OVER (PARTITION BY k ORDER BY v) AS hi FROM p)
-SELECT g.k, g.lo, g.hi, count(DISTINCT x.s) AS n_labels FROM g LEFT JOIN {_SPANS} x ON x.k = g.k AND x.s <= g.lo AND x.e >= g.hi WHERE g.hi IS NOT NULL AND g.k < 40 GROUP BY 1, 2, 3"""
+SELECT g.k, g.lo, g.hi, count(DISTINCT x.s) AS n_labels FROM g LEFT JOIN {_SPANS} x ON x.k = g.k AND x.s <= g.lo AND x.e >= g.hi WHERE g.hi IS NOT NULL GROUP BY 1, 2, 3"""
 )
 def interval_partition(spark, d):
-    rows = spans(spark, d).where("k < 40")
+    rows = spans(spark, d)
     wholes = rows.select("k").distinct().withColumn("size", F.lit(5000))
     rows = rows.withColumn("label", F.col("start"))
     cut = intervals.partition(rows.select("k", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label"), wholes, "k", "label")
@@ -588,22 +588,22 @@ def delimiter_gaps(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT l_suppkey % 50 AS a, l_suppkey % 50 + 1 + l_partkey % 6 AS b FROM lineitem WHERE l_quantity > 40) SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e x JOIN e y ON x.b = y.a WHERE x.a = e.a AND y.b = e.b)"""
+    """WITH e AS (SELECT DISTINCT l_suppkey % 50 AS a, l_suppkey % 50 + 1 + l_partkey % 6 AS b FROM lineitem) SELECT a, b FROM e WHERE NOT EXISTS (SELECT 1 FROM e x JOIN e y ON x.b = y.a WHERE x.a = e.a AND y.b = e.b)"""
 )
 def transitive_reduction(spark, d):
     k = F.col("l_suppkey") % 50
-    e = table(spark, d, "lineitem").where("l_quantity > 40").select(k.alias("a"), (k + 1 + F.col("l_partkey") % 6).alias("b"))
+    e = table(spark, d, "lineitem").select(k.alias("a"), (k + 1 + F.col("l_partkey") % 6).alias("b"))
     return graph.transitive_reduction(e, "a", "b")
 
 
-_EDGES = "(SELECT DISTINCT o_custkey AS a, o_custkey + 1 AS b FROM orders WHERE o_custkey % 7 <> 0 AND o_orderkey % 3 = 0)"
+_EDGES = "(SELECT DISTINCT o_custkey AS a, 1000000000 + o_orderkey AS b FROM orders)"
 
 
 @query(
     f"""WITH RECURSIVE e AS (SELECT a, b FROM {_EDGES} UNION SELECT b, a FROM {_EDGES}), r(n, t) AS (SELECT a, a FROM e UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.t) SELECT n AS node, min(t) AS component FROM r GROUP BY 1"""
 )
 def connected_components(spark, d):
-    e = table(spark, d, "orders").where("o_custkey % 7 <> 0 and o_orderkey % 3 = 0").select(F.col("o_custkey").alias("a"), (F.col("o_custkey") + 1).alias("b")).distinct()
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") + 1000000000).alias("b")).distinct()
     return graph.connected_components(e, "a", "b")
 
 
@@ -671,10 +671,10 @@ def decision_errors(spark, d):
 # --- ordered analytics ---
 
 
-@query(f"SELECT l_orderkey, row, l_linenumber AS level_start, CASE WHEN row + 1 <= 1000 THEN CAST(row + 1 AS VARCHAR) END AS decimal_label, ['I','II','III','IV','V','VI','VII','VIII','IX','X','XI','XII','XIII','XIV','XV','XVI','XVII','XVIII','XIX','XX'][row + 1] AS roman_label, CASE WHEN row < 26 THEN chr(CAST(97 + row AS INTEGER)) END AS letter_label FROM {ROWS} WHERE row < 20")
+@query(f"SELECT l_orderkey, row, l_linenumber AS level_start, CASE WHEN row + 1 <= 1000 THEN CAST(row + 1 AS VARCHAR) END AS decimal_label, ['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'][(row + 1) // 100 % 10 + 1] || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][(row + 1) // 10 % 10 + 1] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][(row + 1) % 10 + 1] AS roman_label, CASE WHEN row < 26 THEN chr(CAST(97 + row AS INTEGER)) END AS letter_label FROM {ROWS}")
 def list_markers(spark, d):
     n = F.col("row") + 1
-    rows = order_rows(spark, d).where("row < 20")
+    rows = order_rows(spark, d)
     return rows.select(
         "l_orderkey", F.col("row").cast("long").alias("row"), F.col("l_linenumber").alias("level_start"), lists.render(n, "decimal").alias("decimal_label"), lists.render(n, "upper_roman").alias("roman_label"), lists.render(n, "lower_letter").alias("letter_label")
     )
@@ -720,7 +720,7 @@ def inventory_admission(spark, d):
 
 # --- geometry ---
 
-_BOXES = "(SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS id, CAST(l_suppkey % 13 AS DOUBLE) AS l, CAST(l_partkey % 11 AS DOUBLE) AS t, CAST(l_suppkey % 13 + 1 + l_partkey % 4 AS DOUBLE) AS r, CAST(l_partkey % 11 + 1 + l_suppkey % 5 AS DOUBLE) AS b FROM lineitem WHERE l_orderkey < 400)"
+_BOXES = "(SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS id, CAST(l_suppkey % 13 AS DOUBLE) AS l, CAST(l_partkey % 11 AS DOUBLE) AS t, CAST(l_suppkey % 13 + 1 + l_partkey % 4 AS DOUBLE) AS r, CAST(l_partkey % 11 + 1 + l_suppkey % 5 AS DOUBLE) AS b FROM lineitem)"
 
 
 @query(
@@ -730,7 +730,7 @@ _BOXES = "(SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS id, CAST(l_su
 def spatial_overlap(spark, d):
     s, p = F.col("l_suppkey"), F.col("l_partkey")
     box = F.struct((s % 13).cast("double").alias("left"), (p % 11).cast("double").alias("top"), (s % 13 + 1 + p % 4).cast("double").alias("right"), (p % 11 + 1 + s % 5).cast("double").alias("bottom"))
-    rows = table(spark, d, "lineitem").where("l_orderkey < 400").select(F.col("l_orderkey").alias("k"), p.alias("id"), box.alias("box")).distinct()
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), p.alias("id"), box.alias("box")).distinct()
     met = rows.alias("x").join(rows.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")))
     ratio = geometry.overlap(F.col("x.box"), F.col("y.box"))
     return met.select(F.col("x.k").alias("k"), F.col("x.id").alias("a"), F.col("y.id").alias("b"), ratio.alias("o")).where("o > 0").select("k", "a", "b", geometry.band(F.col("o")).alias("band"), F.round("o", 6).alias("ratio"))
@@ -750,10 +750,10 @@ def job_final_states(spark, d):
     return jobs.final_states(job_events(spark, d))
 
 
-@query("SELECT user_id AS job_id, min(ts) AS created FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(*) FILTER (WHERE event_type = 'view') = 0 ORDER BY 2, 1 LIMIT 20")
+@query("SELECT user_id AS job_id, min(ts) AS created FROM events WHERE event_type = 'signup' GROUP BY 1 HAVING count(*) > 0")
 def job_claim_order(spark, d):
     submitted = job_events(spark, d).where("event = 'submit'").groupBy("job_id").agg(F.min("ts").alias("created")).withColumn("status", F.lit("queued"))
-    return jobs.claim_order(submitted).limit(20).select("job_id", "created")
+    return jobs.claim_order(submitted).select("job_id", "created")
 
 
 @query("SELECT user_id AS job_id, count(*) AS attempts, min(ts) AS first_claim, max(ts) AS last_claim FROM events WHERE event_type = 'view' GROUP BY 1")
@@ -786,3 +786,153 @@ def linked_blobs(spark, d):
     stored, links = blobs.store(rows, "doc_id", "text")
     kept = blobs.prune(stored, links.join(rows.where("source <> 'src0'").select("doc_id"), "doc_id", "left_semi"))
     return kept.join(links.groupBy("digest").agg(F.count("*").alias("n")), "digest").select("digest", "n")
+
+
+# --- further operators ---
+
+
+@query("SELECT o_custkey, sha256(string_agg(sha256(o_orderstatus || chr(31) || o_orderpriority), '' ORDER BY o_orderkey)) AS manifest FROM orders GROUP BY 1")
+def unit_manifests(spark, d):
+    return units.manifest(table(spark, d, "orders"), "o_custkey", "o_orderkey", ["o_orderstatus", "o_orderpriority"])
+
+
+@query(f"SELECT table_id, row, col, value AS found FROM (SELECT *, CASE WHEN (table_id + row) % 9 = 0 THEN 'other' ELSE value END AS expected FROM {CELLS}) WHERE expected <> value")
+def edit_expectation_errors(spark, d):
+    """Planned edits whose expected old text is not that of the whole cell."""
+    cells = order_cells(spark, d)
+    plan = cells.select("table_id", "row", "col", F.when((F.col("table_id") + F.col("row")) % 9 == 0, "other").otherwise(F.col("value")).alias("expected"))
+    return grids.expectation_errors(cells, plan).select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "found")
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS n_owners FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1")
+def split_occurrences(spark, d):
+    """Records that cite sources of more than one owner."""
+    return C.many_owners(table(spark, d, "lineitem"), "l_orderkey", "l_suppkey")
+
+
+@query(
+    f"""SELECT table_id, row, col, CASE WHEN col < 2 AND row % 4 <> 3 THEN 'record_value' WHEN col < 2 THEN 'unresolved' WHEN row = 0 THEN 'definition' WHEN bool_or(row % 4 = 3) OVER (PARTITION BY table_id) THEN 'unresolved' ELSE 'scalar_region' END AS route FROM {CELLS}"""
+)
+def value_routes(spark, d):
+    """Where each cell's value goes: read, else unresolved record source, else definition, else unresolved row, else scalar."""
+    cells = order_cells(spark, d)
+    any_open = F.bool_or(F.col("row") % 4 == 3).over(Window.partitionBy("table_id"))
+    routed = C.route(F.col("col") < 2, F.col("row") % 4 == 3, F.col("row") == 0, any_open)
+    return cells.select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), routed.alias("route"))
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey, min(l_linenumber) AS a, max(l_linenumber) AS b FROM lineitem GROUP BY 1), g AS (SELECT l_orderkey, unnest(range(a, b + 1)) AS n FROM s)
+SELECT g.l_orderkey, count(DISTINCT g.n) AS asked, count(DISTINCT l.l_linenumber) AS found, count(DISTINCT g.n) = count(DISTINCT l.l_linenumber) AS complete FROM g LEFT JOIN lineitem l ON l.l_orderkey = g.l_orderkey AND l.l_linenumber = g.n GROUP BY 1"""
+)
+def row_selections(spark, d):
+    """Row ranges resolved to existing rows; a gap makes a selection incomplete."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n")).distinct()
+    ranges = rows.groupBy("l_orderkey").agg(F.min("n").alias("first"), F.max("n").alias("last"))
+    return C.resolve_rows(ranges, rows, "l_orderkey", "n")
+
+
+@query("SELECT l_partkey, min(l_linenumber) AS first, max(l_linenumber) AS last FROM (SELECT l_partkey, l_linenumber, l_linenumber - dense_rank() OVER (PARTITION BY l_partkey ORDER BY l_linenumber) AS g FROM lineitem) GROUP BY l_partkey, g")
+def merged_selections(spark, d):
+    """Adjacent or overlapping row intervals of one handle become one."""
+    rows = table(spark, d, "lineitem").select("l_partkey", F.col("l_linenumber").alias("start"), F.col("l_linenumber").alias("end"))
+    return intervals.union(rows, ["l_partkey"], touch=1).toDF("l_partkey", "first", "last")
+
+
+@query(f"SELECT DISTINCT x.k, x.s AS lo, x.e AS hi FROM {_SPANS} x WHERE NOT EXISTS (SELECT 1 FROM {_SPANS} y WHERE y.k = x.k AND y.s <= x.s AND y.e >= x.e AND (y.s, y.e) <> (x.s, x.e)) AND x.e - x.s > 40")
+def outer_spans(spark, d):
+    """Spans that no other span of their key holds."""
+    rows = spans(spark, d).distinct()
+    return intervals.outermost(rows, "k").where(F.col("end") - F.col("start") > 40).toDF("k", "lo", "hi")
+
+
+@query("SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+def property_collisions(spark, d):
+    return C.collisions(table(spark, d, "part"), ["p_brand", "p_type"])
+
+
+@query("SELECT l_partkey AS node, bool_and(l_returnflag <> 'R') AS read FROM lineitem GROUP BY 1")
+def node_read_coverage(spark, d):
+    """A node split over views counts as read only when all views are accepted."""
+    return C.all_accepted(table(spark, d, "lineitem").withColumn("node", F.col("l_partkey")), "node", F.col("l_returnflag") != "R")
+
+
+@query("SELECT pointer, CASE WHEN pointer = '/1' OR starts_with(pointer, '/1/') THEN '/moved' || substr(pointer, 3) ELSE pointer END AS moved FROM (SELECT '/' || n_regionkey || '/' || n_nationkey AS pointer FROM nation UNION ALL SELECT '/' || n_nationkey FROM nation)")
+def pointer_rewrites(spark, d):
+    n = table(spark, d, "nation")
+    p = n.select(F.concat(F.lit("/"), F.concat_ws("/", "n_regionkey", "n_nationkey")).alias("pointer")).union(n.select(F.concat(F.lit("/"), F.col("n_nationkey").cast("string"))))
+    return p.withColumn("moved", X.pointer_rewrite(F.col("pointer"), F.lit("/1"), F.lit("/moved")))
+
+
+@query(
+    f"""WITH c AS (SELECT l_orderkey, row, l_returnflag AS k, l_partkey AS v, CASE WHEN lag(l_returnflag) OVER w = l_returnflag THEN 0 ELSE 1 END AS new FROM {ROWS} WINDOW w AS (PARTITION BY l_orderkey ORDER BY row)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY row) AS g FROM c) SELECT l_orderkey, CAST(g - 1 AS BIGINT) AS line, min(k) AS k, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY row) AS content FROM g GROUP BY l_orderkey, g"""
+)
+def grouped_characters(spark, d):
+    """Consecutive items of one key become lines, in order."""
+    rows = order_rows(spark, d).select("l_orderkey", "row", F.col("l_returnflag").alias("k"), F.col("l_partkey").cast("string").alias("v"))
+    return lines.runs(rows, "l_orderkey", "row", "k", "v").withColumn("line", F.col("line").cast("long"))
+
+
+@query(
+    """WITH t AS (SELECT o_custkey, o_orderkey, o_orderpriority AS cols, lead(o_orderkey) OVER w AS nxt, lead(o_orderpriority) OVER w AS ncols, lead(o_orderstatus) OVER w = o_orderstatus AS same FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey))
+SELECT o_orderkey AS first, nxt AS second, same AS confirmed FROM t WHERE nxt IS NOT NULL AND (same OR ncols = cols)"""
+)
+def continuation_candidates(spark, d):
+    """Consecutive tables of a document: confirmed for one native table, else equal in their columns."""
+    o = table(spark, d, "orders")
+    return C.continuation_candidates(o, "o_custkey", "o_orderkey", native="o_orderstatus", columns="o_orderpriority")
+
+
+@query("SELECT l_orderkey AS table_id, arg_min(row, (l_shipdate, row)) AS anchor, min(l_shipdate) AS first_seen FROM " + ROWS + " GROUP BY 1")
+def table_anchors(spark, d):
+    rows = order_rows(spark, d)
+    return rows.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.min_by("row", F.struct("l_shipdate", "row")).cast("long").alias("anchor"), F.min("l_shipdate").alias("first_seen"))
+
+
+@query(
+    f"""SELECT table_id, bool_and(role IN ('note', 'subtotal', 'blank')) AND bool_or(role IN ('note', 'subtotal')) AS nonrecord, bool_and(role IN ('note', 'blank')) AND bool_or(role = 'note') AS notes
+FROM (SELECT l_orderkey AS table_id, CASE l_returnflag WHEN 'A' THEN 'note' WHEN 'N' THEN 'blank' ELSE CASE WHEN l_linestatus = 'F' THEN 'subtotal' ELSE 'data' END END AS role FROM {ROWS}) GROUP BY 1"""
+)
+def nonrecord_tables(spark, d):
+    """Tables whose decided rows are notes, subtotals and blanks only."""
+    role = F.expr("CASE l_returnflag WHEN 'A' THEN 'note' WHEN 'N' THEN 'blank' ELSE CASE WHEN l_linestatus = 'F' THEN 'subtotal' ELSE 'data' END END")
+    return C.nonrecord(order_rows(spark, d).select(F.col("l_orderkey").alias("table_id"), role.alias("role")), "table_id")
+
+
+@query("SELECT doc_id, sha256(text) = sha256(CASE WHEN doc_id % 97 = 0 THEN text || ' ' ELSE text END) AS proven FROM documents")
+def restored_blobs(spark, d):
+    """Stored bodies come back with a proof that they still have their digest."""
+    from docloom.sinks import blobs
+
+    rows = docs(spark, d).select("doc_id", "text")
+    links = rows.select("doc_id", F.concat(F.sha2("text", 256), F.lit(":"), F.col("doc_id").cast("string")).alias("at"), F.sha2("text", 256).alias("digest"))
+    kept = rows.select(F.concat(F.sha2("text", 256), F.lit(":"), F.col("doc_id").cast("string")).alias("at"), F.when(F.col("doc_id") % 97 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")).alias("body"))
+    return blobs.restore(links, kept, "at").select("doc_id", "proven")
+
+
+@query("SELECT o_orderkey, o_custkey, 1 + CASE WHEN o_orderkey % 4 = 0 THEN o_custkey % 5 ELSE 0 END AS revision FROM orders")
+def result_revisions(spark, d):
+    from docloom.sinks import blobs
+
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    old = o.where("o_orderkey % 4 = 0").select("o_orderkey", (F.col("o_custkey") % 5).alias("revision")).distinct()
+    return blobs.next_revision(o, old, "o_orderkey")
+
+
+@query(
+    """SELECT s_suppkey, CASE WHEN s_nationkey >= s_suppkey % 7 AND 900 >= s_suppkey % 400 THEN 1000 - 900 END AS top, CASE WHEN s_nationkey >= s_suppkey % 7 AND 900 >= s_suppkey % 400 THEN 1000 - s_suppkey % 400 END AS bottom FROM supplier"""
+)
+def flipped_boxes(spark, d):
+    """Boxes measured from the bottom of a page, measured from its top; what is no box is null."""
+    s = F.col("s_suppkey")
+    box = F.struct((s % 7).cast("long").alias("left"), F.lit(900).cast("long").alias("top"), F.col("s_nationkey").cast("long").alias("right"), (s % 400).cast("long").alias("bottom"))
+    rows = table(spark, d, "supplier").select("s_suppkey", geometry.flip(box, F.lit(1000).cast("long")).alias("b"))
+    return rows.select("s_suppkey", "b.top", "b.bottom")
+
+
+@query("SELECT event_id, json_valid(props) AND json_type(props) = 'OBJECT' AS is_object, len(json_keys(props)) AS n_keys FROM events")
+def strict_objects(spark, d):
+    """Properties that are JSON objects, and how many keys they have."""
+    keys = F.json_object_keys("props")
+    return table(spark, d, "events").select("event_id", keys.isNotNull().alias("is_object"), F.size(keys).cast("long").alias("n_keys"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Nothing here is a bound on data; adaptive execution sizes partitions and splits skewed ones.
 SETTINGS = {
@@ -21,5 +24,24 @@ def session(name: str = "docloom", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for lineage cuts: the session's, or our own where none is set (local runs only)."""
+    sc = spark.sparkContext
+    folder = sc._jsc.sc().getCheckpointDir()
+    if folder.isDefined():
+        return folder.get()
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "docloom-checkpoints"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def table(spark: SparkSession, folder: str, name: str):
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -17,9 +17,9 @@ def prune(stored: DataFrame, links: DataFrame) -> DataFrame:
     return stored.join(links.select("digest").distinct(), "digest", "left_semi")
 
 
-def restore(links: DataFrame, stored: DataFrame) -> DataFrame:
-    """links with body and proven: whether the body still has its digest."""
-    return links.join(stored, "digest", "left").withColumn("proven", F.coalesce(F.sha2("body", 256) == F.col("digest"), F.lit(False)))
+def restore(links: DataFrame, stored: DataFrame, at: str = "digest") -> DataFrame:
+    """links (at, digest) with body and proven: whether the body found there has the digest."""
+    return links.join(stored, at, "left").withColumn("proven", F.coalesce(F.sha2("body", 256) == F.col("digest"), F.lit(False)))
 
 
 def next_revision(results: DataFrame, old: DataFrame, key: str) -> DataFrame:
