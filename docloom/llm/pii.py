@@ -7,7 +7,7 @@ out, the source range it came from:
 * look-alike letters, digits and marks of other scripts, and full-width forms;
 * zero-width characters, which vanish;
 * at signs and dots in disguise: "[at]", "(dot)", " AT x DOT com", "&#64;", "[.]";
-* digits spelled as words, in runs of four or more.
+* digits spelled as words, at least SPELLED_WORDS in a run of four or more numbers.
 
 The base detectors then read the rewritten text, and each hit is mapped back to
 source characters.  A mapped hit is added if its source differs from what the
@@ -124,8 +124,8 @@ _FOLDED = re.compile("[^\x00-\x7f\xc0-\u0130\u0132-\u024f]")
 _WORDS = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _DOT_WORD = r"dot|d0t|punkt|point|punto"
-_AT_SIGN = rf"[ \t]*{_OPEN}[ \t]*(?:at|@|ät|arobase|arroba|klammeraffe)[ \t]*{_CLOSE}[ \t]*"
-_DOT_SIGN = rf"[ \t]*{_OPEN}[ \t]*(?:{_DOT_WORD}|\.)[ \t]*{_CLOSE}[ \t]*"
+_AT_SIGN = rf"_at_|[ \t]*{_OPEN}[ \t]*(?:at|@|ät|arobase|arroba|klammeraffe)[ \t]*{_CLOSE}[ \t]*"
+_DOT_SIGN = rf"_dot_|[ \t]*{_OPEN}[ \t]*(?:{_DOT_WORD}|\.)[ \t]*{_CLOSE}[ \t]*"
 _ENTITY_AT, _ENTITY_DOT = r"&#0*64;|&#x0*40;|&commat;|%40", r"&#0*46;|&#x0*2e;|&period;|%2e"
 _LABEL = r"[a-z0-9-]+"
 #: Rewrites: the groups named at and dot are what turns into "@" and ".".
@@ -135,9 +135,14 @@ _BARE = re.compile(
 )
 _BARE_DOT = re.compile(rf"(?i) (?:{_DOT_WORD}) | ?\. ?")
 _BARE_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?: (?:{_DOT_WORD}) [0-9]{{1,3}}){{3}}(?![0-9])")
-_SPELLED = re.compile(rf"(?i)(?:(?<![^\W_])plus[ ,.-]+)?(?<![^\W_])(?:(?:{_WORDS})(?![^\W_])|[0-9]++)(?:[ ,.-]{{1,3}}(?:(?:{_WORDS})(?![^\W_])|[0-9]++)){{3,}}")
-_SPELLED_PART = re.compile(rf"(?i)(?P<plus>plus[ ,.-]+)|(?P<word>{_WORDS})|(?P<digits>[0-9]+)|(?P<gap>[ ,.-]+)")
-
+#: Digit words that a run needs for a rewrite.
+SPELLED_WORDS = 3
+_ITEM = rf"(?:(?:{_WORDS})(?![^\W_])|[0-9]++)"
+_GAP = rf"(?: (?:{_DOT_WORD}) |[ ,.()-]{{1,4}})"
+_SPELLED = re.compile(rf"(?i)(?:(?<![^\W_])plus[ ,.-]+\(?)?(?<![^\W_]){_ITEM}(?:{_GAP}{_ITEM}){{3,}}")
+_SPELLED_PART = re.compile(rf"(?i)(?P<plus>plus[ ,.-]+\(?)|(?P<dot> (?:{_DOT_WORD}) )|(?P<word>{_WORDS})|(?P<digits>[0-9]+)|(?P<gap>[ ,.()-]+)")
+
+# A text without any of these has nothing to rewrite.
 _DIGIT = re.compile("[0-9]")
 _DIGIT_WORD_SET = frozenset(_DIGIT_WORDS)
 _DOT_WORDS_SPACED = tuple(f" {w} " for w in _DOT_WORD.split("|"))
@@ -145,7 +150,7 @@ _DOT_WORDS_SPACED = tuple(f" {w} " for w in _DOT_WORD.split("|"))
 
 def _has_signs(low: str) -> bool:
     """Whether lower-cased text may hold an at sign or a dot in brackets or as an entity."""
-    return any(c in low for c in "[({<") or "&" in low and ("&#" in low or "&commat;" in low or "&period;" in low) or "%40" in low or "%2e" in low
+    return any(c in low for c in "[({<") or "&" in low and ("&#" in low or "&commat;" in low or "&period;" in low) or "%40" in low or "%2e" in low or "_at_" in low or "_dot_" in low
 
 
 def _has_bare(low: str) -> bool:
@@ -213,10 +218,10 @@ class Tape:
 def _spelled(run: re.Match) -> Iterator[tuple[int, int, str]]:
     """Digit words become digits; what stands between single digits goes, so that they join."""
     parts = list(_SPELLED_PART.finditer(run[0]))
-    if not any(p.lastgroup == "word" for p in parts):
-        return
+    if sum(p.lastgroup == "word" for p in parts) < SPELLED_WORDS:
+        return  # a number as digits, beside a word or two that may mean something else
     for p in parts:
-        new = {"plus": "+", "gap": "", "digits": None}.get(p.lastgroup, _DIGIT_WORDS.get(p[0].lower()))
+        new = {"plus": "+", "dot": ".", "gap": "", "digits": None}.get(p.lastgroup, _DIGIT_WORDS.get(p[0].lower()))
         if new is not None:
             yield run.start() + p.start(), run.start() + p.end(), new
 
