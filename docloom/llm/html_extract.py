@@ -57,7 +57,7 @@ WORDS = frozenset(
 CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "option": {"select", "datalist"}, "p": {"td", "th", "button", "table"}}
 
-_TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*(?:>|\Z))|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?P<close>>|\Z)|/[^>]*>)", re.S)
+_TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*(?:>|\Z))|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)(?P<close>>|\Z)|/[^>]*>)", re.S)
 _LOOSE = re.compile(r"<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>[^>]*)(?P<close>>|\Z)")
 _ATTR = re.compile(r"([A-Za-z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
