@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import map_texts
+from docloom.llm.common import map_arrow, map_texts
 
 #: Characters after which a text is cut at the next safe place.
 CHUNK = 1 << 16
@@ -107,7 +107,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", out:
             found = [decode_ids(np.asarray(x or [], dtype=np.int64), ranks, pattern) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], names=[*batch.schema.names, out])
 
-    return rest.mapInArrow(run, schema)
+    return map_arrow(rest, run, schema)
 
 
 def digests(df: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import contextlib
+import ctypes
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -11,35 +12,23 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import cut, shared_folder, table
+
 #: Texts are worked on in slices of at most this many bytes (one row at least).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch on its way to Python, where the session has a larger bound.
+BATCH_BYTES = 8 << 20
 
 #: Largest number of rows that any operator here broadcasts; beyond it the same
 #: join runs as a shuffle join.
 BROADCAST_ROWS = 2_000_000
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "held_out", "id_crc", "map_arrow", "map_texts", "read", "shared_folder", "slices"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder for lineage cuts: the session's, or our own where none is set (local runs)."""
-    sc = spark.sparkContext
-    folder = sc._jsc.sc().getCheckpointDir()
-    if folder.isDefined():
-        return folder.get()
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if named is None and not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "docloom-checkpoints"))
-    return sc._jsc.sc().getCheckpointDir().get()
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return table(spark, sf_dir, name)
 
 
 def id_crc(column: str = "doc_id") -> Column:
@@ -71,11 +60,45 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, schema: str, func: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], column: str = "text") -> DataFrame:
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system, as Python workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, tidying up behind itself."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches, so that a batch of long texts is no larger than one of short ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = re.fullmatch(r"(-?[0-9]+)b?", spark.conf.get(name))
+    # A bound with another unit is the user's own.
+    if bound and (int(bound[1]) <= 0 or int(bound[1]) > BATCH_BYTES):
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded size and memory given back after each task."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(tidied(run), schema)
+
+
+def map_texts(df: DataFrame, schema, func: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]], column: str = "text") -> DataFrame:
     """Runs func on slices of df; column names the text that bounds a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column):
             yield from func(part)
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)

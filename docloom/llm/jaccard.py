@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_ROWS, cut, map_texts
+from docloom.llm.common import BROADCAST_ROWS, cut, map_arrow, map_texts, slices
 from docloom.llm.components import components
 
 SIZE = 4
@@ -141,8 +141,6 @@ def _signatures(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([*none, pa.array(blocks, pa.int32()), pa.array(packed, pa.binary())], schema=kind)
 
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from docloom.llm.common import slices
-
         yield from run(slices(batches, "text"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +151,10 @@ def _signatures(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
                 total += np.frombuffer(pa.decompress(packed, BLOCK * 4, "zstd", asbytes=True), dtype="<u4")
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"])
 
-    made = cut(docs.mapInArrow(sliced, "id long, n long, sig binary, parity binary, wide binary, block int, counts binary"))
+    made = cut(map_arrow(docs, sliced, "id long, n long, sig binary, parity binary, wide binary, block int, counts binary"))
     table = np.zeros(TABLE, dtype=np.int64)
     blocks = made.where("block is not null").select("block", "counts").repartition(F.col("block"))
-    for block, counts in blocks.mapInArrow(add, "block int, counts binary").collect():
+    for block, counts in map_arrow(blocks, add, "block int, counts binary").collect():
         table[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(counts), dtype=np.int64)
     return made.where("block is null").select("id", "n", "sig", "parity", "wide"), table
 
@@ -170,8 +168,6 @@ def _postings(docs: DataFrame, table: np.ndarray, size: int, percent: int, part:
     usual = int(np.median(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from docloom.llm.common import slices
-
         counts, seen = shared.value, set()
         for rows in slices(batches, "text"):
             ids, sets = rows.column("id").to_pylist(), shingle_sets(rows.column("text").to_pylist(), size)
@@ -191,7 +187,7 @@ def _postings(docs: DataFrame, table: np.ndarray, size: int, percent: int, part:
                 flat = [np.concatenate(c) for c in cols]
                 yield pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1].astype(np.int32)), pa.array(flat[2].astype(np.int32)), pa.array(flat[3].astype(np.int64)), pa.array(flat[4].astype(np.int32)), pa.array(flat[5].astype(np.int32))], names=["token", "salt", "parts", "id", "n", "pos"])
 
-    return docs.mapInArrow(run, "token long, salt int, parts int, id long, n int, pos int")
+    return map_arrow(docs, run, "token long, salt int, parts int, id long, n int, pos int")
 
 
 def hash_id(i: int) -> int:
@@ -304,7 +300,7 @@ def _list_pairs(rows: DataFrame, keys: list[str], order: list[str], percent: int
         if held is not None:
             yield from pairs(held)
 
-    return arranged.mapInArrow(run, "a long, b long").distinct()
+    return map_arrow(arranged, run, "a long, b long").distinct()
 
 
 def _sifted(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
@@ -318,7 +314,7 @@ def _sifted(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
             ok = pa.array((n + m - apart) * (100 + percent) >= 2 * (n + m) * percent)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(apart).filter(ok)], names=["a", "b", "apart"])
 
-    return met.mapInArrow(run, "a long, b long, apart long")
+    return map_arrow(met, run, "a long, b long, apart long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:

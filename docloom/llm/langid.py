@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import map_texts
+from docloom.llm.common import map_arrow, map_texts
 
 BUCKETS = 1 << 14
 CENTROIDS = 3
@@ -143,7 +143,7 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array(df[live])], names=["bucket", "n"])
 
     total = np.zeros(BUCKETS + 1, dtype=np.int64)
-    for bucket, n in rows.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
+    for bucket, n in map_arrow(rows, run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
         total[bucket] = n
     return total[:BUCKETS], int(total[BUCKETS])
 

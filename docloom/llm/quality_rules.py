@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import bounded_broadcast, map_texts
+from docloom.llm.common import bounded_broadcast, map_arrow, map_texts
 
 BUCKETS = 1 << 18
 #: Counts travel in blocks of so many buckets.
@@ -144,7 +144,7 @@ def fit(marked: DataFrame) -> np.ndarray:
 
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     schema = "block int, raw binary, target binary"
-    for block, r, t in marked.mapInArrow(run, schema).repartition(F.col("block")).mapInArrow(add, schema).collect():
+    for block, r, t in map_arrow(map_arrow(marked, run, schema).repartition(F.col("block")), add, schema).collect():
         raw[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(r), dtype=np.int64)
         target[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(t), dtype=np.int64)
     if not target.any():

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.common import map_arrow
+
 BLOCK_SECONDS = 3600
 
 # Header fields that a 304 answer sends to update a stored response.
@@ -167,4 +169,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     schema = "record_id string, type string, url string, date string, http_status string, etag string, last_modified string, digest string, headers map<string,string>, body binary"
     raw = spark.read.format("binaryFile").load(path).select("content")
-    return raw.mapInArrow(run, schema).withColumn("ts", F.to_timestamp("date"))
+    return map_arrow(raw, run, schema).withColumn("ts", F.to_timestamp("date"))
