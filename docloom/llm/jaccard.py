@@ -24,9 +24,9 @@ with one of them only, the one nearest to what they share; the links found merge
 into components.  Then members of different components are compared, all of
 them, in strips within a task; only pairs that pass the filters leave it.  Long
 lists are salted into parts by a hash of the member: each part has a first
-member of its own, these are compared with one of them, and later every two
-parts meet in a block of their own.  So no link between different components is
-lost, and components are those of the complete join.
+member of its own, these are compared with one of them, and later the members
+outside the list's largest component visit every part.  So no link between
+different components is lost, and components are those of the complete join.
 
 Defined results: a null or empty text, or one without words, has an empty set and
 links with nothing; a null id takes no part and has a null component; rows that
@@ -245,22 +245,25 @@ def _star(rows: Lists, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np
 
 
 def _across(rows: Lists, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of different components of a list, or of the two parts of a list that a block holds, against each other.
+    """Members of different components: those outside a part's largest one, and all guests, against the part's own members.
 
-    All members stand against those outside the list's largest component, in strips of bounded size.
+    The comparisons run in strips of bounded size.
     """
-    side = rows.keys[:, -1]
+    guest = rows.keys[:, -1] == 1
     left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     for a, b in zip(bounds, bounds[1:], strict=False):
-        comps, own, size = np.unique(rows.comp[a:b], return_inverse=True, return_counts=True)
-        if len(comps) < 2:
+        own = a + np.flatnonzero(~guest[a:b])
+        comps, which, size = np.unique(rows.comp[own], return_inverse=True, return_counts=True)
+        if not len(own) or len(comps) < 2 and len(own) == b - a:
             continue
-        rest = a + np.flatnonzero(own != size.argmax())
-        strip = max(1, (1 << 20) // (b - a))
+        large = which == size.argmax()
+        rest = np.concatenate([own[~large], a + np.flatnonzero(guest[a:b])])
+        strip = max(1, (1 << 20) // len(own))
         for k in range(0, len(rest), strip):
-            i, j = (x.ravel() for x in np.meshgrid(rest[k : k + strip], np.arange(a, b), indexing="ij"))
-            fresh = (rows.comp[i] < rows.comp[j]) | (own[j - a] == size.argmax())
-            fresh &= (side[i] != side[j]) | (side[i] < 0)
+            i, at = (x.ravel() for x in np.meshgrid(rest[k : k + strip], np.arange(len(own)), indexing="ij"))
+            j = own[at]
+            # Of two members outside the largest component each pair comes once.
+            fresh = guest[i] | large[at] | (rows.comp[i] < rows.comp[j])
             i, j = i[fresh], j[fresh]
             ok = rows.near(i, j, percent)
             left.append(i[ok])
@@ -268,10 +271,10 @@ def _across(rows: Lists, bounds: np.ndarray, percent: int) -> tuple[np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
-def _list_pairs(rows: DataFrame, keys: list[str], order: list[str], percent: int, pairing, extra: list[str] = []) -> DataFrame:  # noqa: B006
+def _list_pairs(rows: DataFrame, keys: list[str], order: list[str], percent: int, pairing, extra: tuple[str, ...] = ()) -> DataFrame:
     """The distinct pairs (a, b) that pairing finds in lists; rows of a list meet in one task, which holds a batch and a list."""
     arranged = rows.select(*keys, *extra, *Lists.names, "parity").repartition(*(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
-    used = keys + extra
+    used = [*keys, *extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -359,11 +362,13 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
             # One nearest pivot for each member; what it does not link to is compared below.
             near = _sifted(near, wide, percent).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
         else:
-            # Every two parts of a list meet in a block of their own; parts are -1 where a list has but one.
-            other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-            blocks = placed.withColumn("other", other).withColumn("one", F.least("salt", "other")).withColumn("two", F.greatest("salt", "other"))
-            blocks = blocks.withColumn("side", F.when(F.col("one") == F.col("two"), -1).otherwise(F.col("salt"))).join(parity, ["id", "n"])
-            near = _list_pairs(blocks, ["token", "one", "two"], ["id"], percent, _across, ["side"])
+            # In a list of several parts, members outside its largest component are guests in all other parts.
+            split = placed.where("parts > 1")
+            largest = split.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"))
+            guests = split.join(largest, "token").where("comp <> largest").drop("largest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            guests = guests.where("other <> salt").withColumn("salt", F.col("other")).drop("other").withColumn("guest", F.lit(1))
+            rows = placed.withColumn("guest", F.lit(0)).unionByName(guests).join(parity, ["id", "n"])
+            near = _list_pairs(rows, ["token", "salt"], ["id"], percent, _across, ("guest",))
             near = _sifted(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), wide, percent).select("a", "b")
         near = cut(near)
         links = cut(links.union(_verified(near, own, size, percent)).distinct())
