@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from docloom.functions import geometry, lists, literals
 from docloom.functions import text as X
 from docloom.operators import compile as C
+from docloom.operators import decisions as D
 from docloom.operators import graph, grids, intervals, issues, lines, quotes, relations, units
 from docloom.plans import packing
 from docloom.session import table
@@ -936,3 +937,95 @@ def strict_objects(spark, d):
     """Properties that are JSON objects, and how many keys they have."""
     keys = F.json_object_keys("props")
     return table(spark, d, "events").select("event_id", keys.isNotNull().alias("is_object"), F.size(keys).cast("long").alias("n_keys"))
+
+
+# --- decisions as tables ---
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1 AS independent FROM lineitem")
+def independent_choices(spark, d):
+    """Decisions of a task that has no other decision."""
+    rows = table(spark, d, "lineitem").withColumn("task", F.struct("l_orderkey", "l_linenumber"))
+    return D.once(rows, "task").select("l_orderkey", "l_linenumber", "independent")
+
+
+@query(
+    """SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'gone' WHEN l.doc_id % 6 = 0 THEN 'stale' WHEN d.lang <> 'en' THEN 'changed' ELSE 'replayed' END AS outcome FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id"""
+)
+def replayed_decisions(spark, d):
+    """Saved decisions against what is there now: stale fingerprints and other values are told apart."""
+    now = docs(spark, d).select("doc_id", F.sha2("text", 256).alias("fp"), F.col("lang").alias("v"))
+    saved = table(spark, d, "labels").select("doc_id").join(now.select("doc_id", F.col("fp").alias("f0")), "doc_id", "left")
+    saved = saved.select("doc_id", F.when(F.col("doc_id") % 6 == 0, "old").otherwise(F.col("f0")).alias("fp"), F.lit("en").alias("v"))
+    return D.replay(saved, now, "doc_id", "fp", "v")
+
+
+@query("SELECT o_orderkey AS first, nxt AS second FROM (SELECT o_orderkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt FROM orders WHERE o_orderstatus <> 'O') WHERE nxt IS NOT NULL")
+def bridged_candidates(spark, d):
+    """Pairs of record tables, across tables of notes between them."""
+    return D.bridged(table(spark, d, "orders"), "o_custkey", "o_orderkey", F.col("o_orderstatus") != "O")
+
+
+@query(
+    """WITH m AS (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS more, list_sort(list_distinct(list(l_partkey))) AS refs FROM lineitem GROUP BY 1)
+SELECT l_orderkey, array_to_string(list_concat(refs, list_filter(more, lambda x: NOT list_contains(refs, x))), ',') AS refs FROM m"""
+)
+def extended_context(spark, d):
+    """Context lists with the refs of an accepted mapping put behind, once each."""
+    li = table(spark, d, "lineitem")
+    regions = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("refs"))
+    out = D.extended_context(regions, li.select("l_orderkey", "l_suppkey"), "l_orderkey", "refs", "l_suppkey")
+    return out.select("l_orderkey", F.array_join(F.transform("refs", lambda x: x.cast("string")), ",").alias("refs"))
+
+
+@query("SELECT event_id, array_to_string(list_sort(list_filter(json_keys(props), lambda k: k NOT IN ('a', 'b', 'k'))), ',') AS unknown, array_to_string(list_sort(list_filter(['a', 'k', 'zz'], lambda k: NOT list_contains(json_keys(props), k))), ',') AS missing FROM events")
+def strict_fields(spark, d):
+    """Keys of an object that are not allowed, and required ones that it lacks."""
+    return table(spark, d, "events").select("event_id", D.unknown_keys(F.col("props"), ("a", "b", "k")).alias("unknown"), D.missing_keys(F.col("props"), ("a", "k", "zz")).alias("missing"))
+
+
+@query(
+    """WITH v AS (SELECT o_orderkey, o_orderstatus AS raw, o_orderpriority || ' ' || o_orderstatus || ' ' || o_custkey AS t FROM orders)
+SELECT o_orderkey, raw, strpos(t, raw) - 1 AS start, strpos(t, raw) - 1 + length(raw) AS stop FROM v WHERE length(t) - length(replace(t, raw, '')) = length(raw)"""
+)
+def explicit_bindings(spark, d):
+    """Raw values that stand exactly once in their text become ranges."""
+    o = table(spark, d, "orders")
+    texts = o.select("o_orderkey", F.concat_ws(" ", "o_orderpriority", "o_orderstatus", "o_custkey").alias("t"))
+    found = D.explicit_bindings(o.select("o_orderkey", F.col("o_orderstatus").alias("raw")), texts, "o_orderkey", "raw", "t")
+    return found.select("o_orderkey", "raw", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("stop"))
+
+
+@query("SELECT l_orderkey, least(512, 128 + 12 * count(DISTINCT l_partkey) + 8 * count(*)) AS tokens FROM lineitem GROUP BY 1")
+def answer_budgets(spark, d):
+    n = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_partkey").alias("ids"), F.count("*").alias("blocks"))
+    return n.select("l_orderkey", D.output_budget(F.col("ids"), F.col("blocks"), 512).cast("long").alias("tokens"))
+
+
+@query(
+    """WITH d AS (SELECT l_orderkey AS page, a AS top, lead(a) OVER w AS bottom, row_number() OVER w - 1 AS r FROM (SELECT DISTINCT l_orderkey, l_partkey AS a FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY a)),
+c AS (SELECT l_orderkey AS page, a AS lft, lead(a) OVER w AS rgt, row_number() OVER w - 1 AS c FROM (SELECT DISTINCT l_orderkey, l_suppkey AS a FROM lineitem) WINDOW w AS (PARTITION BY l_orderkey ORDER BY a))
+SELECT d.page, r, c, lft, top, rgt, bottom FROM d JOIN c ON d.page = c.page WHERE bottom IS NOT NULL AND rgt IS NOT NULL"""
+)
+def resolved_grid_cells(spark, d):
+    """Cells between neighbouring lines of a page."""
+    li = table(spark, d, "lineitem")
+    down, across = (li.select(F.col("l_orderkey").alias("page"), F.col(c).alias("at")) for c in ("l_partkey", "l_suppkey"))
+    return D.grid_cells(down, across, "page").select("page", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), F.col("left").alias("lft"), "top", F.col("right").alias("rgt"), "bottom")
+
+
+@query(f"SELECT table_id, max(row) + 1 AS n_rows, max(col) + 1 AS n_cols, count(*) AS n_cells, CAST(sum(length(value)) AS BIGINT) AS chars, count(*) <= 24 AS shown FROM {CELLS} GROUP BY 1")
+def table_shapes(spark, d):
+    shapes = D.tables_and_fields(order_cells(spark, d), "table_id", 24)
+    return shapes.select("table_id", F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols"), "n_cells", F.col("chars").cast("long").alias("chars"), "shown")
+
+
+@query(
+    f"SELECT table_id, row, col, CASE WHEN col = 2 THEN '=' || value WHEN value IS NOT NULL AND col <> 5 THEN value ELSE 'raw:' || value END AS shown FROM {CELLS}"
+)
+def cell_texts(spark, d):
+    """The text that stands for each cell by its kind."""
+    v = F.col("value")
+    kind = F.when(F.col("col") == 2, "formula").when(F.col("col") == 5, "blank").otherwise("string")
+    shown = D.shown_text(kind, v, F.concat(F.lit("="), v), F.concat(F.lit("raw:"), v), F.lit(""))
+    return order_cells(spark, d).select("table_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), shown.alias("shown"))
