@@ -49,7 +49,8 @@ def capture_records(pages: DataFrame) -> DataFrame:
     other = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("x"), tag)).otherwise(tag)
     three = F.struct((F.col("page_id") * 3 + 2).alias("record_id"), F.lit("revisit").alias("type"), minute(F.col("page_id") + (F.col("page_id") * 104729) % 100000).alias("ts"), other.alias("etag"))
     rows = pages.select("url", "html", F.explode(F.array(one, two, three)).alias("r")).select("url", "r.*", F.when(F.col("r.type") == "response", F.col("html")).alias("body"))
-    headers = F.create_map(F.lit("date"), F.col("ts").cast("string"), F.lit("server"), F.concat(F.lit("s"), (F.col("record_id") % 5).cast("string")))
+    shown = F.to_utc_timestamp("ts", F.current_timezone()).cast("string")  # in UTC, whatever the session's zone
+    headers = F.create_map(F.lit("date"), shown, F.lit("server"), F.concat(F.lit("s"), (F.col("record_id") % 5).cast("string")))
     none = F.lit(None).cast("string")
     return rows.select("record_id", "type", "url", "ts", "etag", none.alias("last_modified"), none.alias("digest"), headers.alias("headers"), "body")
 
