@@ -334,7 +334,8 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed, table = _signatures(docs, size)
     live = signed.where("n > 0 and id is not null")
-    classes = live.groupBy("sig", "n").agg(F.min("id").alias("rep"))
+    # Kept apart from its aggregation, so that a class of very many copies can be split in the join.
+    classes = cut(live.groupBy("sig", "n").agg(F.min("id").alias("rep")))
     member = cut(live.join(classes, ["sig", "n"]).select("id", "rep").distinct())
     copies = member.groupBy("id").agg(F.min(F.col("rep")).alias("least"), F.max(F.col("rep")).alias("most"), F.max((F.col("rep") == F.col("id")).cast("int")).alias("own"))
     others = copies.where("own = 0").select("id")
