@@ -203,3 +203,14 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*part.schema.names, *names])
 
     return map_texts(rest, schema, work, text)
+
+
+def drop_rejected(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """df without the rows that the model rejects."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        _, _, rejected = shared.value.predict(part.column(text).to_pylist())
+        yield part.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return map_texts(df, df.schema, work, text)
