@@ -26,8 +26,7 @@ from docloom.llm.common import read, shared_folder
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, F.col("doc_id").isNotNull())
-    judged = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return langid.predict(judged, model).where("not rejected").select("row.*")
+    return langid.drop_rejected(docs, model)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
