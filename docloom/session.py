@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,5 +45,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(spark: SparkSession, folder: str, name: str):
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, unless they are sure to have it.
+
+    They have it where it was submitted as a file, or where its folder stands in PYTHONPATH.
+    """
+    sc = spark.sparkContext
+    package = Path(__file__).resolve().parent
+    known = {os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if getattr(sc, "_docloom_shipped", False) or not package.is_dir() or str(package.parent) in known:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="docloom-")) / "docloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._docloom_shipped = True
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
