@@ -7,6 +7,7 @@ out, the source range it came from:
 * look-alike letters, digits and marks of other scripts, and full-width forms;
 * zero-width characters, which vanish;
 * at signs and dots in disguise: "[at]", "(dot)", " AT x DOT com", "&#64;", "[.]";
+* letters that pass for digits, in numbers of at least MIXED_DIGITS true digits;
 * digits spelled as words, at least SPELLED_WORDS in a run of four or more numbers.
 
 The base detectors then read the rewritten text, and each hit is mapped back to
@@ -131,7 +132,7 @@ _LABEL = r"[a-z0-9-]+"
 #: Rewrites: the groups named at and dot are what turns into "@" and ".".
 _SIGNS = re.compile(rf"(?i)(?<=[a-z0-9])(?:(?P<at>{_AT_SIGN}|{_ENTITY_AT})|(?P<dot>{_DOT_SIGN}|{_ENTITY_DOT}))(?=[a-z0-9])")
 _BARE = re.compile(
-    rf"(?i)(?<![a-z0-9._%+-])(?:[a-z0-9_%+-]+(?:\.[a-z0-9_%+-]+)*(?: dot [a-z0-9_%+-]+)?)(?P<sep> at | @ ?|(?<! )@ )(?P<host>{_LABEL}(?:(?: (?:{_DOT_WORD}) | ?\. ?|\.){_LABEL}){{0,4}}?(?: (?:{_DOT_WORD}) | ?\. ?)(?:{_TOP}))(?![a-z0-9-])"
+    rf"(?i)(?<![a-z0-9._%+-])(?:[a-z0-9_%+-]+(?:\.[a-z0-9_%+-]+)*(?: dot [a-z0-9_%+-]+)?)(?P<sep> at | @ ?|(?<! )@ )(?P<host>{_LABEL}(?:(?: (?:{_DOT_WORD}) | ?\. ?|\.){_LABEL}){{0,4}}(?: (?:{_DOT_WORD}) | ?\. ?)(?:{_TOP}))(?![a-z0-9-])"
 )
 _BARE_DOT = re.compile(rf"(?i) (?:{_DOT_WORD}) | ?\. ?")
 _BARE_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?: (?:{_DOT_WORD}) [0-9]{{1,3}}){{3}}(?![0-9])")
@@ -143,6 +144,12 @@ _SPELLED = re.compile(rf"(?i)(?:(?<![^\W_])plus[ ,.-]+\(?)?(?<![^\W_]){_ITEM}(?:
 _SPELLED_PART = re.compile(rf"(?i)(?P<plus>plus[ ,.-]+\(?)|(?P<dot> (?:{_DOT_WORD}) )|(?P<word>{_WORDS})|(?P<digits>[0-9]+)|(?P<gap>[ ,.()-]+)")
 
 # A text without any of these has nothing to rewrite.
+# Letters that pass for digits among digits.
+_DIGIT_LETTERS = {"O": "0", "o": "0", "I": "1", "l": "1", "S": "5", "B": "8"}
+_MIXED_HINT = re.compile("[0-9][OoIlSB]|[OoIlSB][0-9]")
+_MIXED_PART = "(?=[OoIlSB]{0,3}[0-9])[0-9OoIlSB]++"
+_MIXED = re.compile(f"(?<![A-Za-z0-9]){_MIXED_PART}(?:[ .-]{_MIXED_PART})*+(?![A-Za-z0-9])")
+MIXED_DIGITS = 8
 _DIGIT = re.compile("[0-9]")
 _DIGIT_WORD_SET = frozenset(_DIGIT_WORDS)
 _DOT_WORDS_SPACED = tuple(f" {w} " for w in _DOT_WORD.split("|"))
@@ -218,7 +225,10 @@ class Tape:
 def _spelled(run: re.Match) -> Iterator[tuple[int, int, str]]:
     """Digit words become digits; what stands between single digits goes, so that they join."""
     parts = list(_SPELLED_PART.finditer(run[0]))
-    if sum(p.lastgroup == "word" for p in parts) < SPELLED_WORDS:
+    kinds = [p.lastgroup for p in parts]
+    groups = [len(p[0]) for p in parts if p.lastgroup == "digits"]
+    dialled = "plus" in kinds and sum(groups) + kinds.count("word") >= 10 and (not groups or max(groups[-2:]) >= 3)
+    if kinds.count("word") < SPELLED_WORDS and not dialled:
         return  # a number as digits, beside a word or two that may mean something else
     for p in parts:
         new = {"plus": "+", "dot": ".", "gap": "", "digits": None}.get(p.lastgroup, _DIGIT_WORDS.get(p[0].lower()))
@@ -249,7 +259,16 @@ def rewrite(text: str) -> Tape | None:
             found += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _BARE_DOT.finditer(m[0])]
         if found:
             tape = tape.edit(sorted(found))
-    if _has_spelled(low):
+    if _DIGIT.search(tape.text) and _MIXED_HINT.search(tape.text):
+        found = []
+        for m in _MIXED.finditer(tape.text):
+            letters = [i for i, c in enumerate(m[0]) if c in _DIGIT_LETTERS]
+            if letters and sum(c.isdigit() for c in m[0]) >= MIXED_DIGITS:
+                found += [(m.start() + i, m.start() + i + 1, _DIGIT_LETTERS[m[0][i]]) for i in letters]
+        if found:
+            tape = tape.edit(found)
+            low = tape.text.lower()
+    if _has_spelled(low) or "plus " in low:
         if found := [e for m in _SPELLED.finditer(tape.text) for e in _spelled(m)]:
             tape = tape.edit(found)
     return None if tape.text == text else tape
