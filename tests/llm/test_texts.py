@@ -94,6 +94,12 @@ def test_base_spans_equal_the_regular_expressions():
         ("x １２.1.1.１ y", "ip", "１２.1.1.１"),
         ("host 192[.]168[.]1[.]1 up", "ip", "192[.]168[.]1[.]1"),
         ("call plus one five five five one two three four five six seven ok", "phone", "plus one five five five one two three four five six seven"),
+        ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
+        ("call +1 (nine seven four) five five five - three four three six now", "phone", "+1 (nine seven four) five five five - three four three six"),
+        ("dial plus 1 974 555 3436 x", "phone", "plus 1 974 555 3436"),
+        ("card 4O12 8888 88B8 l88l ok", "card", "4O12 8888 88B8 l88l"),
+        ("jane DOT doe AT mail3 DOT example DOT com", "email", "jane DOT doe AT mail3 DOT example DOT com"),
+        ("x jane_at_mail_dot_org y", "email", "jane_at_mail_dot_org"),
         ("pay four one one one 1111 1111 1111 now", "card", "four one one one 1111 1111 1111"),
     ],
 )
@@ -103,7 +109,7 @@ def test_disguises_are_found_at_their_source(text, kind, found):
     assert added
 
 
-@pytest.mark.parametrize("text", ["meet me at the dot on the map", "one two three four five", "she arrived at example.com", "un deux trois", "3 @ 5.00", "mail a.b@c.de now"])
+@pytest.mark.parametrize("text", ["meet me at the dot on the map", "one two three four five", "she arrived at example.com", "un deux trois", "3 @ 5.00", "mail a.b@c.de now", "a plus 10 15 20 25 30 b", "+1 (974) 555-3436 Un deux", "So 4111111111111111 Il", "look-at-me"])
 def test_clean_texts_gain_nothing(text):
     assert pii.find(text)[1] == []
 
