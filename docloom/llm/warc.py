@@ -102,15 +102,14 @@ def merge_headers(response: Column, revisit: Column) -> Column:
 
 def attach_payload(resolved: DataFrame, records: DataFrame, payload: list[str]) -> DataFrame:
     """resolved with the payload columns and merged headers of each record's source (its own, for a response)."""
-    bodies = records.where(F.col("type") == "response").dropDuplicates(["record_id"])
-    bodies = bodies.select(F.col("record_id").alias("__id"), F.col("headers").alias("__headers"), *(F.col(c) for c in payload))
+    # A column of zeros that the optimizer can't fold keeps the salt below a join key, dealt out as bodies are already.
+    bodies = records.where(F.col("type") == "response").withColumn("__zero", F.col("record_id").isNull().cast("long")).dropDuplicates(["record_id", "__zero"])
+    bodies = bodies.select(F.col("record_id").alias("__id"), "__zero", F.col("headers").alias("__headers"), *(F.col(c) for c in payload))
     wanted = F.coalesce("source_id", F.when(F.col("type") == "response", F.col("record_id")))
     # Records that want no body are spread by a salt, which a body never has, or they would all meet in one task.
     salt = F.when(wanted.isNull(), 1 + F.pmod(F.xxhash64("record_id", "curl", "ts"), F.lit(1 << 20))).otherwise(F.lit(0))
     rest = resolved.drop(*payload).withColumn("__wanted", wanted).withColumn("__salt", salt)
-    # A column of zeros that the optimizer can't fold keeps the salt a join key.
-    right = bodies.withColumn("__zero", F.col("__id").isNull().cast("long"))
-    out = rest.join(right, (rest["__wanted"] == right["__id"]) & (rest["__salt"] == right["__zero"]), "left")
+    out = rest.join(bodies, (rest["__wanted"] == bodies["__id"]) & (rest["__salt"] == bodies["__zero"]), "left")
     merged = F.when(F.col("status") == "resolved", merge_headers(F.col("__headers"), F.col("headers"))).otherwise(F.col("headers"))
     return out.withColumn("headers", merged).drop("__id", "__headers", "__wanted", "__salt", "__zero")
 
