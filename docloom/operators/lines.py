@@ -12,10 +12,14 @@ CHUNK = 50_000
 
 
 def lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line, content, offset, blank): every line, with its offset in code points of the raw text."""
+    """(key, line, content, offset, blank): every line, with its offset in code points of the raw text.
+
+    Lengths are taken before the window, so contents are only dealt out where they are asked for.
+    """
     parts = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("line", "content"))
+    parts = parts.withColumn("__n", F.length("content") + 1).withColumn("blank", F.trim("content") == "")
     before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("offset", F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0)).cast("long")).withColumn("blank", F.trim("content") == "")
+    return parts.withColumn("offset", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long")).select(key, "line", "content", "offset", "blank")
 
 
 def paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

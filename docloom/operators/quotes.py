@@ -41,7 +41,8 @@ def resolve_quotes(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", text
     none = q.where(F.size("__w") == 0).drop("__w")
     d = docs.select(key, F.col(text).alias("__t")).where(F.col("__t").isNotNull())
     own = _with_grams(d.select(key, F.split("__t", r"\s+").alias("__w")), "__w", "__gs")
-    found = own.select(key, F.explode("__gs").alias("__g")).join(long, "__g").select(key, quote_key, "__q").distinct()
+    # explode() would have the optimizer compute the array twice, for a filter on its size.
+    found = own.select(key, F.explode_outer("__gs").alias("__g")).where("__g is not null").join(long, "__g").select(key, quote_key, "__q").distinct()
     if not few.isEmpty():
         single = d.select(key, F.explode(F.array_distinct(F.split("__t", r"\s+"))).alias("__one"))
         found = found.unionByName(single.join(few, "__one").select(key, quote_key, "__q"))
