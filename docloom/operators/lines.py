@@ -1,4 +1,8 @@
-"""Lines, paragraphs, chunks and what is measured on them."""
+"""Lines, paragraphs, chunks and what is measured on them.
+
+Arrays are exploded by the outer forms with a filter behind: before the inner ones the optimizer puts a filter on the
+array's size, and so computes the array twice.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,7 @@ def lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     Lengths are taken before the window, so contents are only dealt out where they are asked for.
     """
-    parts = df.where(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("line", "content"))
+    parts = df.where(F.col(text).isNotNull()).select(key, F.posexplode_outer(F.split(text, "\n")).alias("line", "content")).where("line is not null")
     parts = parts.withColumn("__n", F.length("content") + 1).withColumn("blank", F.trim("content") == "")
     before = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("offset", F.coalesce(F.sum("__n").over(before), F.lit(0)).cast("long")).select(key, "line", "content", "offset", "blank")
@@ -24,12 +28,13 @@ def lines(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     r"""(key, paragraph from 1, content): the text split at blank lines, empty parts left out but counted."""
-    return df.select(key, F.posexplode(F.split(text, r"\n\s*\n")).alias("paragraph", "content")).select(key, (F.col("paragraph") + 1).alias("paragraph"), "content").where(F.length(F.trim("content")) > 0)
+    return df.select(key, F.posexplode_outer(F.split(text, r"\n\s*\n")).alias("paragraph", "content")).select(key, (F.col("paragraph") + 1).alias("paragraph"), "content").where(F.length(F.trim("content")) > 0)
 
 
 def chunked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = CHUNK) -> DataFrame:
     """(key, chunk from 1, content, split): parts of size code points; split marks texts of more than one."""
-    return df.select(key, F.posexplode(X.chunks(F.col(text), size)).alias("chunk", "content"), (F.length(text) > size).alias("split")).withColumn("chunk", F.col("chunk") + 1)
+    parts = df.select(key, F.posexplode_outer(X.chunks(F.col(text), size)).alias("chunk", "content"), (F.length(text) > size).alias("split"))
+    return parts.where("chunk is not null").withColumn("chunk", F.col("chunk") + 1)
 
 
 def continued(df: DataFrame, identity: list[str], chunk: str, order: list[str], partition: list[str]) -> Column:

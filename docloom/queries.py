@@ -74,7 +74,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, i - 1 AS line, p AS content, length(p) AS n_chars FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)")
 def text_lines(spark, d):
-    return docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "content")).withColumn("n_chars", F.length("content").cast("long")).withColumn("line", F.col("line").cast("long"))
+    return docs(spark, d).select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line", "content")).where("line is not null").withColumn("n_chars", F.length("content").cast("long")).withColumn("line", F.col("line").cast("long"))
 
 
 @query(
@@ -118,7 +118,7 @@ p AS (SELECT o_orderkey, regexp_extract_all(t, '(?:^|[;\n])\s*([^;\n:=]+?)\s*[:=
 SELECT o_orderkey, i AS place, ls[i] AS label, trim(vs[i], ' ') AS value, trim(vs[i], ' ') = '' AS blank FROM (SELECT o_orderkey, ls, vs, unnest(range(1, len(ls) + 1)) AS i FROM p)"""
 )
 def label_value_pairs(spark, d):
-    rows = table(spark, d, "orders").select("o_orderkey", F.posexplode(X.label_values(F.expr(_ORDER_TEXT))).alias("place", "p"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.posexplode_outer(X.label_values(F.expr(_ORDER_TEXT))).alias("place", "p")).where("p is not null")
     return rows.select("o_orderkey", (F.col("place") + 1).cast("long").alias("place"), "p.label", "p.value", (F.col("p.value") == "").alias("blank"))
 
 
