@@ -101,6 +101,10 @@ def with_kept(df: DataFrame) -> DataFrame:
     return _with_runs(df, f"g_{K}", [W], _least, "m").withColumn("kept", F.array_distinct(f"m_{W}")).drop(f"m_{W}")
 
 
+# Arrays are exploded by explode_outer() and a filter behind it: for explode() the optimizer puts a filter on the array's
+# size before it, and so computes the whole array twice.
+
+
 def _placed(n: int) -> Callable[[Column, Column], Column]:
     return lambda h, i: F.struct(h.alias("h"), F.lit(n).alias("len"), (i + 1).alias("at"))
 
@@ -117,7 +121,7 @@ def spans(df: DataFrame, lengths: Iterable[int], when: Callable[[int], Column] |
     for n in lengths:
         part = F.transform(f"g_{n}", _placed(n))
         parts.append(part if when is None else F.when(when(n), part).otherwise(F.filter(part, lambda _: F.lit(False))))
-    df = df.select(*keep, "w", F.explode(F.concat(*parts)).alias("s"))
+    df = df.select(*keep, "w", F.explode_outer(F.concat(*parts)).alias("s")).where("s is not null")
     return df.select(*keep, F.col("s.h").alias("h"), F.col("s.len").alias("len"), F.col("s.at").alias("at"), F.slice("w", F.col("s.at"), F.col("s.len")).alias("words"))
 
 
@@ -139,13 +143,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     windows, few_windows = _small(spans(items, range(1, WINDOW + 1), own_length).select("item", "h", "len", F.col("words").alias("window")).distinct())
     short = sorted(r["len"] for r in windows.where(F.col("len") < WINDOW).select("len").distinct().collect())
     # Prints: (hash, 0) for kept hashes, (hash, length) for short items.
-    kept = with_kept(with_grams(items.where(F.size("w") >= WINDOW).select("w"), [K])).select(F.explode("kept").alias("h"), F.lit(0).alias("len"))
+    kept = with_kept(with_grams(items.where(F.size("w") >= WINDOW).select("w"), [K])).select(F.explode_outer("kept").alias("h"), F.lit(0).alias("len")).where("h is not null")
     prints, few_prints = _small(kept.unionByName(windows.where(F.col("len") < WINDOW).select("h", "len")).distinct())
 
     worded = docs.select("key", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), words(F.col("text")).alias("w"))
     own = with_kept(with_grams(worded, sorted({K, *short})))
     kinds = [F.transform("kept", _print(0)), *(F.transform(F.array_distinct(f"g_{n}"), _print(n)) for n in short)]
-    own = own.select("key", "row", F.explode(F.concat(*kinds)).alias("p")).select("key", "row", F.col("p.h").alias("h"), F.col("p.len").alias("len"))
+    own = own.select("key", "row", F.explode_outer(F.concat(*kinds)).alias("p")).where("p is not null").select("key", "row", F.col("p.h").alias("h"), F.col("p.len").alias("len"))
     candidates, few = _small(_join(own, prints, few_prints, ["h", "len"], "left_semi").select("key", "row").distinct())
 
     # Extension: the spans of candidates only.
