@@ -310,3 +310,14 @@ def test_stages_take_effect(spark, tmp_path):
         made = stage(spark, docs_.limit(0), str(tmp_path))
         assert made.count() == 0
         assert name == "bpe" or made.columns == docs_.columns
+
+
+def test_near_copies_of_the_pipeline_share_five_words(spark, tmp_path):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(1200)]
+    pairs = [(words[:100], words[:100] + words[500:520]), (words[100:150], [*words[100:124], "other", *words[125:150]]), (words[200:300], words[200:300] + words[600:640])]
+    rows = [(10 * i + j, " ".join(w)) for i, pair in enumerate(pairs) for j, w in enumerate(pair)]
+    left = corpus_pipeline.ngram_jaccard(spark, docs(spark, rows), str(tmp_path))
+    # Five-word similarities: 96/116, 41/51 and 96/136; four-word ones are below 0.85.
+    assert sorted(r["doc_id"] for r in left.collect()) == [0, 10, 20, 21]
