@@ -25,6 +25,10 @@ from docloom.llm.common import read, shared_folder
 from docloom.session import ship
 
 
+#: Near copies of the pipeline: shingles of so many words, and the least similarity. op5_ngram_jaccard has its own contract.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = langid.fit(docs, F.col("doc_id").isNotNull())
@@ -33,7 +37,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
