@@ -12,8 +12,8 @@ row repeated many times is spread over the buckets like any other; nothing is
 ever dropped.  Only bucket sizes (one row a bucket) meet in one place, and those
 as a running sum.
 
-The order follows from the seed, the records and the number of shuffle
-partitions; the shuffled order is kept in the shared folder before positions
+The order follows from the seed, the records and the number of
+buckets; the shuffled order is kept in the shared folder before positions
 are read from it, so a lost executor cannot mix two orders.
 
 Defined results: null ids and texts are records like others (a null text has no
@@ -35,10 +35,17 @@ SEED = 20240229
 
 
 def _spread(records: DataFrame) -> DataFrame:
-    """records with a column copy that tells equal rows apart."""
+    """records with a column __copy that tells equal rows apart; only rows whose hash repeats are dealt by their columns."""
     names = records.columns
-    counted = records.groupBy(*names).agg(F.count("*").alias("__copies"))
-    return counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies")
+    hashed = records.withColumn("__hash", F.xxhash64(*names))
+    repeated = cut(hashed.groupBy("__hash").count().where("count > 1").select("__hash"))
+    n = repeated.count()
+    if not n:
+        return records.withColumn("__copy", F.lit(1))
+    right = F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated
+    once = hashed.join(right, "__hash", "left_anti").select(*names, F.lit(1).alias("__copy"))
+    counted = hashed.join(right, "__hash", "left_semi").groupBy(*names).agg(F.count("*").alias("__copies"))
+    return once.unionByName(counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__copies"))
 
 
 def shuffle_into_shards(records: DataFrame, shards: int, size: Column, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -51,7 +58,9 @@ def shuffle_into_shards(records: DataFrame, shards: int, size: Column, seed: int
     total = records.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
     buckets = max(1, -(-total["b"] // bucket_bytes), -(-total["n"] // bucket_rows))
     scattered = _spread(records).withColumn("__bucket", F.pmod(F.xxhash64(F.lit(seed), *names, "__copy"), F.lit(buckets)))
-    grouped = scattered.groupBy("__bucket").agg(F.sort_array(F.collect_list(F.struct("__copy", *names))).alias("__rows"))
+    # As many partitions as buckets: one that held many buckets would keep all their texts in memory at once.
+    dealt = scattered.repartition(buckets, "__bucket")
+    grouped = dealt.groupBy("__bucket").agg(F.sort_array(F.collect_list(F.struct("__copy", *names))).alias("__rows"))
     # Rows stand in a defined order before the engine's generator, seeded by partition, runs over them.
     shuffled = grouped.sortWithinPartitions("__bucket").withColumn("__rows", F.shuffle("__rows", F.lit(seed)))
     placed = cut(shuffled.select("__bucket", F.posexplode("__rows").alias("__at", "__row")))
@@ -70,8 +79,11 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def digests(docs: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document row: the key, size, text_crc32, law, shard, slot and grown_shard."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    records = docs.select(F.col(key).alias("key"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
-    out = shuffle_into_shards(records, shards, F.col("size"))
-    return out.select(F.col("key").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """Per document row: the key, size, text_crc32, law, shard, slot and grown_shard, read from the records as placed.
+
+    Whole records go through both passes; the shuffled buckets are kept in the shared folder.
+    """
+    body = F.coalesce(F.col("text"), F.lit(""))
+    size = (F.octet_length(body) + 8).cast("long")
+    placed = shuffle_into_shards(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), shards, size)
+    return placed.select(F.col("key").alias(key), size.alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -172,6 +172,16 @@ def test_hot_rows_spread_and_files_hold_all(spark, tmp_path):
     assert df.sparkSession.read.parquet(str(tmp_path / "shards")).count() == 600
 
 
+def test_whole_texts_are_placed(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(sharding, "cut", lambda df: kept.append(common.cut(df)) or kept[-1])
+    rows = [(i, "long " * 200000 if i == 3 else f"text {i}") for i in range(40)] + [(5, "text 5")] * 30
+    got = sharding.digests(docs(spark, rows), 4).collect()
+    placed = [r for df in kept if "__row" in df.columns for r in df.select("__row.*").collect()]
+    assert collections.Counter((r["key"], r["text"]) for r in placed) == collections.Counter(rows)
+    assert sum(r["size"] for r in got) == sum(len(t) + 8 for _, t in rows)
+
+
 # --- WARC ---
 
 
