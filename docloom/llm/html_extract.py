@@ -1,30 +1,30 @@
 """Main text of web pages by wrapper induction.
 
-1. Exemplars: of each host up to EXEMPLARS pages with different markup, chosen
-   by seeded hashes (a bounded, fixed sample; only hashes are aggregated).
-2. Induction: the exemplars' trees, with runs of equal siblings folded into
-   one node, are aligned with that of the first by simple tree matching.  A node
-   whose text is the same in at least CONSTANT_SHARE of MIN_EXEMPLARS or more
-   aligned pages is template; the others are slots.
-3. Extraction: every page is aligned with its host's wrapper; text in template
-   nodes with the template's text goes.  Of the slots, those of page furniture
-   (by element, role, class and id words) go, and what is left of the page's
-   article, main part or body is its text.
+1. Alignment: runs of equal siblings are folded into one node, and a node stands
+   where its path of folded signatures (name, class and id words) leads.
+2. Induction: over all different pages of a host it is counted in how many a
+   place occurs and in how many it bears each text.  A text that stands in at
+   least CONSTANT_SHARE of the pages that have its place, MIN_PAGES or more, is
+   template; other places are slots.  The same counts are made for each layout
+   of a host (the places below the top of the page), so that each has a wrapper.
+3. Extraction: the template's texts go from their places.  Of the slots, those of
+   page furniture (by element, role, class and id words) go, and what is left of
+   the page's article, main part or body is its text.
 
 Text: character references decoded, white space inside a block turned into one
 space, blocks joined in page order by one newline.
 
 Defined results: a null or empty page has the text ""; a page without a URL or
-host is extracted without a wrapper, as are pages of a host with too few
-exemplars; markup that ends in mid-tag is cut there; nesting beyond MAX_DEPTH is
+host is extracted without a wrapper, as are those of a host with fewer than
+MIN_PAGES different pages; markup that ends in mid-tag is cut there; nesting beyond MAX_DEPTH is
 flattened, keeping its text; repeated rows give repeated results and count as
-one exemplar; an empty table gives an empty table.
+one page; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
-import pickle
 import re
 from collections.abc import Iterable, Iterator
 
@@ -32,15 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_ROWS, cut, map_texts
+from docloom.llm.common import BROADCAST_ROWS, cut, map_arrow, map_texts, slices
 
-EXEMPLARS = 8
-MIN_EXEMPLARS = 5
+MIN_PAGES = 5
 CONSTANT_SHARE = 0.8
 MAX_DEPTH = 200
-#: Hosts up to which wrappers are broadcast, a few kB each.
+#: Hosts up to which wrappers are broadcast, of BROADCAST_ROWS texts in all.
 BROADCAST_HOSTS = 10_000
-MAX_WRAPPER_NODES = 400
+#: Counts that a task holds before it hands them on.
+HELD_COUNTS = 200_000
 
 # Element names of HTML by what they mean here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -215,53 +215,47 @@ def match(a: Folded, b: Folded, pairs: list[tuple[Folded, Folded]] | None = None
     return total
 
 
-class Wrapper:
-    """A host's folded tree with the text of its template nodes; slots have None."""
+def _hash(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
 
-    __slots__ = ("sig", "text", "kids", "nodes")
 
-    def __init__(self, sig: str, text: str | None, kids: list[Wrapper]):
-        self.sig, self.text, self.kids, self.nodes = sig, text, kids, ()
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
 
 
-def _count(f: Folded) -> int:
-    return 1 + sum(map(_count, f.kids))
-
-
-def induce(pages: Iterable[str]) -> Wrapper | None:
-    """The wrapper of a host's exemplars, or None if it has too few or no template text."""
-    trees = [fold(parse(p)) for p in pages]
-    # The middle one in size stands first.
-    trees.sort(key=_count)
-    first = trees.pop(len(trees) // 2)
-    if len(trees) + 1 < MIN_EXEMPLARS or _count(first) > MAX_WRAPPER_NODES:
-        return None
-    same: dict[int, int] = {}
-    for t in trees:
-        pairs: list[tuple[Folded, Folded]] = []
-        match(first, t, pairs)
-        for x, y in pairs:
-            same[id(x)] = same.get(id(x), 0) + (x.text == y.text)
-    found = False
-
-    def build(f: Folded) -> Wrapper:
-        nonlocal found
-        constant = bool(f.text) and same.get(id(f), 0) + 1 >= CONSTANT_SHARE * (len(trees) + 1)
-        found |= constant and f.nodes[0].tag not in FURNITURE
-        return Wrapper(f.sig, f.text if constant else None, [build(k) for k in f.kids])
-
-    made = build(first)
-    return made if found else None
-
-
-def drop_template(root: Node, wrapper: Wrapper) -> None:
+def _placed(top: Folded) -> Iterator[tuple[Folded, bytes, int]]:
+    """The folded nodes with their paths and depths."""
+    todo = [(top, b"", 0)]
+    while todo:
+        f, path, depth = todo.pop()
+        yield f, path, depth
+        todo.extend((k, _hash(path, k.sig.encode("utf-8", "replace")), depth + 1) for k in f.kids)
+
+
+def places(root: Node) -> Iterator[tuple[Folded, int, int]]:
+    """(folded node, place, text at the place) for each node with text of its own, in the host and in its layout."""
+    nodes = list(_placed(fold(root)))
+    # The layout: the paths of the first two levels below the frames that hold the whole page.
+    levels: dict[int, set[bytes]] = {}
+    for f, path, depth in nodes:
+        if f.sig != "head.":
+            levels.setdefault(depth, set()).add(path)
+    start = 0
+    while len(levels.get(start + 1, ())) == 1:
+        start += 1
+    layout = _hash(b"layout", *sorted(levels.get(start + 1, set()) | levels.get(start + 2, set())))
+    for f, path, _ in nodes:
+        if f.text:
+            text = f.text.encode("utf-8", "replace")
+            for scope in (b"", layout):
+                yield f, _number(_hash(scope, path)), _number(_hash(scope, path, text))
+
+
+def drop_template(root: Node, template: frozenset[int]) -> None:
     """Takes the text of template nodes out of the page."""
-    pairs: list = []
-    match(wrapper, fold(root), pairs)
-    for w, f in pairs:
-        if w.text is not None and w.text == f.text:
-            for n in f.nodes:
-                n.children = [c for c in n.children if isinstance(c, Node)]
+    for f in {id(f): f for f, _, text in places(root) if text in template}.values():
+        for n in f.nodes:
+            n.children = [c for c in n.children if isinstance(c, Node)]
 
 
 # --- slots to text ---
@@ -354,30 +348,50 @@ def blocks(root: Node) -> Iterator[str]:
         yield out
 
 
-def extract(source: str | None, wrapper: Wrapper | None = None) -> str:
+def extract(source: str | None, template: frozenset[int] | None = None) -> str:
     if not source:
         return ""
     root = parse(source)
-    if wrapper is not None:
-        drop_template(root, wrapper)
+    if template:
+        drop_template(root, template)
     return "\n".join(blocks(root))
 
 
-def _wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) of each host that has one."""
-    slot = F.pmod(F.col("h"), F.lit(EXEMPLARS))
-    hashed = pages.where((F.col("host") != "") & (F.col("html") != "")).select("host", F.xxhash64(F.lit("exemplar"), "html").alias("h"), "html")
-    chosen = cut(hashed.groupBy("host", slot.alias("slot")).agg(F.min("h").alias("h")).select("host", "h"))
-    n = chosen.count()
-    picked = hashed.join(F.broadcast(chosen) if n <= BROADCAST_ROWS else chosen, ["host", "h"], "left_semi").dropDuplicates(["host", "h"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, place, text, n): pages that have a place (text null), and that have a text there."""
+    counts: dict[tuple[str, int, int | None], int] = {}
+
+    def made() -> pa.RecordBatch:
+        hosts, where, texts = zip(*counts, strict=True) if counts else ((), (), ())
+        out = pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(where, pa.int64()), pa.array(texts, pa.int64()), pa.array(counts.values(), pa.int64())], names=["host", "place", "text", "n"])
+        counts.clear()
+        return out
+
+    for part in slices(batches, "html"):
+        for host, source in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+            for key in {(host, place, t) for _, place, text in places(parse(source)) for t in (None, text)}:
+                counts[key] = counts.get(key, 0) + 1
+            if len(counts) >= HELD_COUNTS:
+                yield made()
+    yield made()
 
-    def learn(group: pa.Table) -> pa.Table:
-        ordered = group.sort_by("h")
-        made = induce(ordered.column("html").to_pylist())
-        rows = [{"host": ordered.column("host")[0].as_py(), "wrapper": pickle.dumps(made)}] if made is not None else []
-        return pa.Table.from_pylist(rows, schema=pa.schema([("host", pa.string()), ("wrapper", pa.binary())]))
 
-    return cut(picked.groupBy("host").applyInArrow(learn, "host string, wrapper binary"))
+def _wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper) of each host that has one: its template's texts at their places, as an array<long>."""
+    hashed = pages.where((F.col("host") != "") & (F.col("html") != "")).select("host", F.xxhash64(F.lit("page"), "html").alias("h"), "html")
+    different = cut(hashed.groupBy("host", "h").count())
+    hosts = cut(different.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES).select("host"))
+    repeated = cut(different.where("count > 1").select("host", "h"))
+    n_hosts, n_repeated = hosts.count(), repeated.count()
+    live = hashed.join(F.broadcast(hosts) if n_hosts <= BROADCAST_ROWS else hosts, "host", "left_semi")
+    right = F.broadcast(repeated) if n_repeated <= BROADCAST_ROWS else repeated
+    once = live.join(right, ["host", "h"], "left_anti").unionByName(live.join(right, ["host", "h"], "left_semi").dropDuplicates(["host", "h"])) if n_repeated else live
+    counts = map_arrow(once.select("host", "html"), _counted, "host string, place long, text long, n long").groupBy("host", "place", "text").agg(F.sum("n").alias("n"))
+    # Texts too rare to be template anywhere are not kept.
+    counts = cut(counts.where(F.when(F.col("text").isNull(), F.col("n") >= MIN_PAGES).otherwise(F.col("n") >= CONSTANT_SHARE * MIN_PAGES)))
+    total = counts.where("text is null").select("host", "place", F.col("n").alias("total"))
+    template = counts.where("text is not null").join(total, ["host", "place"]).where(F.col("n") >= CONSTANT_SHARE * F.col("total"))
+    return cut(template.groupBy("host").agg(F.collect_set("text").alias("wrapper")))
 
 
 def main_text(df: DataFrame, url: str = "url", page: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
@@ -385,16 +399,17 @@ def main_text(df: DataFrame, url: str = "url", page: str = "html", keys: tuple[s
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = df.select(F.struct(*keys).alias("key"), host.alias("host"), F.col(page).alias("html"))
     wrappers = _wrappers(pages.select("host", "html"))
-    small = wrappers.count() <= BROADCAST_HOSTS
-    joined = pages.join(F.broadcast(wrappers) if small else wrappers, "host", "left").select("key", "html", "wrapper")
+    size = wrappers.agg(F.count("*").alias("hosts"), F.coalesce(F.sum(F.size("wrapper")), F.lit(0)).alias("texts")).first()
+    small = size["hosts"] <= BROADCAST_HOSTS and size["texts"] <= BROADCAST_ROWS
+    joined = pages.join(F.broadcast(wrappers) if small else wrappers, "host", "left").select("key", "host", "html", "wrapper")
 
     def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ready: dict[bytes, Wrapper] = {}
+        ready: dict[str, frozenset[int]] = {}
         texts = []
-        for source, packed in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist(), strict=True):
-            if packed is not None and packed not in ready:
-                ready[packed] = pickle.loads(packed)
-            texts.append(extract(source, ready.get(packed)))
+        for i, (host, source) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
+            if host not in ready:
+                ready[host] = frozenset(part.column("wrapper")[i].as_py() or ())
+            texts.append(extract(source, ready[host]))
         yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(texts, pa.string())], names=["key", "text"])
 
     schema = joined.select("key", F.lit("").alias("text")).schema

@@ -239,6 +239,21 @@ def test_template_goes_and_slots_stay(spark):
     assert html_extract.digests(df.limit(0)).count() == 0
 
 
+def read_pages(spark, rows):
+    df = spark.createDataFrame([(i, f"http://{h}.example/{i}", p) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string")
+    return [r["text"] for r in html_extract.main_text(df).orderBy("page_id").collect()]
+
+
+def test_wrappers_come_from_all_pages_of_a_host(spark):
+    rows = [(f"five{k}", shell(0, f"<p>story {k} {i}</p>")) for k in range(12) for i in range(5)]
+    got = read_pages(spark, rows)
+    assert got == [f"story {k} {i}" for k in range(12) for i in range(5)]
+    # A hot host with two layouts that differ in their constant texts at one place, and a notice on 70 % of its pages.
+    notice = "<section><p>Closed on Monday</p></section>"
+    two = [f"<html><body><div>{'Left' if i % 2 else 'Right'} paper</div>{'<ul><li>' if i % 2 else '<table><tr><td>'}item {i}{'</ul>' if i % 2 else '</table>'}{notice if i % 10 < 7 else ''}</body></html>" for i in range(60)]
+    assert read_pages(spark, [("hot", p) for p in two]) == [f"item {i}" for i in range(60)]
+
+
 def test_tree_matching_counts_equal_nodes():
     a = html_extract.fold(html_extract.parse("<div><p>x</p><ul><li>1</li><li>2</li></ul><b>z</b></div>"))
     b = html_extract.fold(html_extract.parse("<div><ul><li>9</li></ul><b>z</b><i>q</i></div>"))
