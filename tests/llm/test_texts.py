@@ -254,6 +254,14 @@ def test_wrappers_come_from_all_pages_of_a_host(spark):
     assert read_pages(spark, [("hot", p) for p in two]) == [f"item {i}" for i in range(60)]
 
 
+def test_large_and_deep_pages_have_a_wrapper(spark):
+    big = [shell(0, "".join(f"<h2 class=s{k}>part {i} {k}</h2><p class=t{k}>text {i} {k}</p>" for k in range(300))) for i in range(6)]
+    deep = [shell(0, "<div>" * 3000 + f"<b>page {i}</b>" + "</div>" * 3000) for i in range(6)]
+    got = read_pages(spark, [("big", p) for p in big] + [("deep", p) for p in deep])
+    assert not any("Welcome" in t or "All rights" in t for t in got)
+    assert got[0].split("\n")[:2] == ["part 0 0", "text 0 0"] and got[6:] == [f"page {i}" for i in range(6)]
+
+
 def test_tree_matching_counts_equal_nodes():
     a = html_extract.fold(html_extract.parse("<div><p>x</p><ul><li>1</li><li>2</li></ul><b>z</b></div>"))
     b = html_extract.fold(html_extract.parse("<div><ul><li>9</li></ul><b>z</b><i>q</i></div>"))
