@@ -16,8 +16,8 @@ space, blocks joined in page order by one newline.
 
 Defined results: a null or empty page has the text ""; a page without a URL or
 host is extracted without a wrapper, as are those of a host with fewer than
-MIN_PAGES different pages; markup that ends in mid-tag is cut there; nesting beyond MAX_DEPTH is
-flattened, keeping its text; repeated rows give repeated results and count as
+MIN_PAGES different pages; markup that ends in mid-tag is cut there; nesting may be of any
+depth; repeated rows give repeated results and count as
 one page; an empty table gives an empty table.
 """
 
@@ -36,7 +36,6 @@ from docloom.llm.common import BROADCAST_ROWS, cut, map_arrow, map_texts, slices
 
 MIN_PAGES = 5
 CONSTANT_SHARE = 0.8
-MAX_DEPTH = 200
 #: Hosts up to which wrappers are broadcast, of BROADCAST_ROWS texts in all.
 BROADCAST_HOSTS = 10_000
 #: Counts that a task holds before it hands them on.
@@ -56,6 +55,9 @@ WORDS = frozenset(
 )
 CLOSED_BY = {"p": BLOCKS - {"body", "html"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 SCOPES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "thead": {"table"}, "tbody": {"table"}, "option": {"select", "datalist"}, "p": {"td", "th", "button", "table"}}
+# An end tag doesn't reach out of the table or cell it stands in, but for those of tables and of the page.
+CELLS = ("table", "td", "th")
+ACROSS_CELLS = frozenset("table tr tbody thead tfoot body html".split())
 
 _TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<other>[!?][^>]*(?:>|\Z))|(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)(?P<close>>|\Z)|/[^>]*>)", re.S)
 _LOOSE = re.compile(r"<(?P<end>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>[^>]*)(?P<close>>|\Z)")
@@ -64,10 +66,11 @@ _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "drop")
+    __slots__ = ("tag", "attrs", "children", "frame")
 
     def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children, self.drop = tag, attrs, [], False
+        self.tag, self.attrs, self.children = tag, attrs, []
+        self.frame = False  # holds an article or main part
 
     def words(self) -> set[str]:
         named = f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}"
@@ -77,8 +80,17 @@ class Node:
 def parse(source: str) -> Node:
     root = Node("#root", {})
     stack = [root]
+    last: dict[str, list[int]] = {}  # where elements of a name stand in the stack
     pos, size = 0, len(source)
 
+    def top(names: Iterable[str]) -> int:
+        return max((last[n][-1] for n in names if last.get(n)), default=0)
+
+    def close(until: int) -> None:
+        for n in stack[until:]:
+            last[n.tag].pop()
+        del stack[until:]
+
     def text(until: int) -> None:
         if until > pos:
             stack[-1].children.append(html.unescape(source[pos:until]))
@@ -102,24 +114,23 @@ def parse(source: str) -> Node:
         if name is None or not m["close"]:
             continue
         if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "td", "th") and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            i = top((name,))
+            if i and (name in ACROSS_CELLS or i >= top(CELLS)):
+                close(i)
             continue
         for open_tag, closers in CLOSED_BY.items():
             if name in closers:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == open_tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in SCOPES.get(open_tag, ()):
-                        break
+                i = top((open_tag,))
+                if i and i > top(SCOPES.get(open_tag, ())):
+                    close(i)
         attrs = {a.lower(): html.unescape(x or y or z or "") for a, x, y, z in _ATTR.findall(m["attrs"])} if m["attrs"].strip(" /") else {}
         node = Node(name, attrs)
         stack[-1].children.append(node)
+        if name in ("article", "main") and not node.words() & WORDS:
+            for n in reversed(stack):
+                if n.frame:
+                    break
+                n.frame = True
         if name in VOID or m["attrs"].endswith("/") and name not in BLOCKS:
             continue
         if name in RAW:
@@ -127,7 +138,8 @@ def parse(source: str) -> Node:
             if end.start() > pos:
                 node.children.append(source[pos : end.start()])
             pos = end.end()
-        elif len(stack) < MAX_DEPTH:
+        else:
+            last.setdefault(name, []).append(len(stack))
             stack.append(node)
     return root
 
@@ -271,7 +283,7 @@ def _furniture(n: Node, inside: bool) -> bool:
         named = n.words()
         if named & WORDS or "header" in named and not inside:
             # A frame around the article may bear such a word; the article itself may not be a comment.
-            return n.tag not in ("html", "body", "main") and (n.tag != "article" or bool(named & {"comment", "comments", "related", "teaser", "ad", "ads", "promo", "sponsored"})) and not any(c.tag in ("article", "main") and not c.words() & WORDS for c in elements(n) if c is not n)
+            return n.tag not in ("html", "body", "main") and (n.tag != "article" or bool(named & {"comment", "comments", "related", "teaser", "ad", "ads", "promo", "sponsored"})) and not n.frame
     return False
 
 

@@ -222,6 +222,15 @@ def test_deep_and_long_pages_keep_their_text():
     assert len(html_extract.extract(page("<p>x</p>" * 20000)).split("\n")) == 20000
 
 
+def test_deep_articles_and_furniture_keep_their_place():
+    for n in (10, 300, 20000):
+        deep = "<div>" * n + "<nav>menu</nav><article><p>one</p><div>two</div></article><aside>side</aside>" + "</div>" * n
+        assert html_extract.extract(deep) == "one\ntwo"
+        inner = "<article>" + "<div>" * n + "a<nav>menu</nav><div>b</div><!-- c -->" + "</div>" * n + "<p>rest</p></article>"
+        assert html_extract.extract("<div>" + inner + "</div><p>out</p>") == "a\nb\nrest"
+    assert html_extract.extract("<p>" + "<button>" + "<div class=nav>" * 20000 + "x" + "</div>" * 20000 + "</button></p>") == ""
+
+
 def shell(i, body):
     return f"<html><body><div class=top>Welcome all</div><div class=c>{body}</div><div class=b>All rights kept {2000}</div></body></html>"
 
