@@ -5,11 +5,13 @@ UTF-8, letters only, marks and digits as spaces), weighted by the square root
 of the count and by inverse document frequency, and scaled to length one.
 Training vectors of each language are clustered (spherical k-means); a text
 takes the language of the centroid with the largest cosine.  A text whose
-cosine is below the radius of its language is rejected: the radius is
-RADIUS_SHARE of the least cosine between the training vectors of that language
-and their centroids.
+cosine is below the radius of its centroid is rejected: the radius is
+RADIUS_SHARE of a low quantile (RADIUS_QUANTILE) of the cosines of all training
+rows nearest to that centroid among those of their language, so that a few odd
+rows do not widen it.  A centroid with fewer than RADIUS_ROWS such rows takes the
+quantile of its language.
 
-Document frequencies come from every training row.  Centroids are fitted on a
+Document frequencies and radii come from every training row.  Centroids are fitted on a
 bounded sample: about SAMPLE_PER_LANGUAGE rows of each language, those with the
 smallest seeded hashes of the id.  The model is a fixed-size table: BUCKETS
 weights for each of CENTROIDS centroids of at most MAX_LANGUAGES languages (the
@@ -33,13 +35,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import map_arrow, map_texts
+from docloom.llm.common import map_arrow, map_texts, slices
 
 BUCKETS = 1 << 14
 CENTROIDS = 3
 SAMPLE_PER_LANGUAGE = 500
 MAX_LANGUAGES = 256
 RADIUS_SHARE = 0.35
+RADIUS_QUANTILE = 0.02
+RADIUS_ROWS = 100
+#: Steps of a cosine in which training rows are counted.
+RADIUS_BINS = 512
 UND = "und"
 
 _SPACED = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -148,6 +154,36 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     return total[:BUCKETS], int(total[BUCKETS])
 
 
+def _quantile(counts: np.ndarray) -> float:
+    """The lower edge of the step that holds the quantile."""
+    seen = np.cumsum(counts)
+    return float(np.searchsorted(seen, RADIUS_QUANTILE * seen[-1], side="right")) / RADIUS_BINS if seen[-1] else 0.0
+
+
+def _radii(rows: DataFrame, weights: np.ndarray, centroids: np.ndarray, languages: list[str]) -> np.ndarray:
+    shared = rows.sparkSession.sparkContext.broadcast((weights, centroids, languages))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, centroids, languages = shared.value
+        own = {name: np.array([i for i, x in enumerate(languages) if x == name]) for name in set(languages)}
+        counts = np.zeros((len(languages), RADIUS_BINS), dtype=np.int64)
+        for part in slices(batches, "text"):
+            live = [(t, own[name]) for t, name in zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True) if name in own and has_letter(t)]
+            for group in _groups(live):
+                cosines = vectors([t for t, _ in group], weights) @ centroids.T
+                for (_, among), row in zip(group, cosines, strict=True):
+                    k = among[row[among].argmax()]
+                    counts[k, min(RADIUS_BINS - 1, max(0, int(row[k] * RADIUS_BINS)))] += 1
+        k, step = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(counts[k, step])], names=["centroid", "step", "n"])
+
+    total = np.zeros((len(languages), RADIUS_BINS), dtype=np.int64)
+    for k, step, n in map_arrow(rows.select("text", "lang"), run, "centroid int, step int, n long").groupBy("centroid", "step").agg(F.sum("n")).collect():
+        total[k, step] = n
+    whole = {name: sum(total[i] for i, x in enumerate(languages) if x == name) for name in set(languages)}
+    return RADIUS_SHARE * np.array([_quantile(total[i] if total[i].sum() >= RADIUS_ROWS else whole[x]) for i, x in enumerate(languages)])
+
+
 def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Learns from the rows of df for which train is true and lang is not null."""
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("centroids"), F.col(key)).alias("at")).where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -176,19 +212,18 @@ def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", ke
     found: dict[str, list] = {}
     for r in map_texts(sample, "lang string, at long, buckets binary, numbers binary", work).collect():
         found.setdefault(r["lang"], []).append((r["at"], bytes(r["buckets"]), bytes(r["numbers"])))
-    centroids, languages, radius = [], [], []
+    centroids, languages = [], []
     for name in sorted(found):
         picked = sorted(set(found[name]))[: 2 * SAMPLE_PER_LANGUAGE]
         x = np.zeros((len(picked), BUCKETS), dtype=np.float32)
         for i, (_, b, v) in enumerate(picked):
             x[i, np.frombuffer(b, "<u2")] = np.frombuffer(v, "<f2")
-        c = _cluster(x, CENTROIDS)
-        least = RADIUS_SHARE * float((x @ c.T).max(axis=1).min())
-        for row in c:
+        for row in _cluster(x, CENTROIDS):
             centroids.append(row)
             languages.append(name)
-            radius.append(least)
-    return Model(weights, np.array(centroids), languages, np.array(radius))
+    if not centroids:
+        return Model(weights, np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
+    return Model(weights, np.array(centroids), languages, _radii(rows, weights, np.array(centroids), languages))
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

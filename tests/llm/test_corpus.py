@@ -274,6 +274,21 @@ def test_languages_of_held_out_texts(spark):
     assert langid.predict(df.limit(0), model).count() == 0
 
 
+def test_unlearned_languages_and_junk_are_rejected(spark):
+    rng = random.Random(6)
+    rows = [(i, spoken(rng, lang, rng.randint(20, 60)), lang) for i, lang in enumerate(("xx", "yy", "zz") * 200)]
+    # An odd labelled row of each language must not widen its radius.
+    rows += [(1000 + i, "q" * (i + 1) + " ### 12", lang) for i, lang in enumerate(("xx", "yy", "zz"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, F.col("doc_id").isNotNull())
+    other = [" ".join("".join(rng.choice(("wro", "sht", "gly", "prv", "nck")) for _ in range(3)) for _ in range(40)) for _ in range(30)]
+    junk = ["vvvv jjjj " * 9, "q", "qwq wqw ### 1 2 3", "\u0431\u0430 \u0431\u043e"]
+    clean = [spoken(rng, lang, 30) for lang in ("xx", "yy", "zz") * 20]
+    planted = spark.createDataFrame([(i, t) for i, t in enumerate(other + junk + clean)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in langid.drop_rejected(planted, model).collect()}
+    assert kept == set(range(len(other + junk), len(other + junk + clean)))
+
+
 def test_quality_of_held_out_texts(spark):
     rng = random.Random(4)
     good = lambda: ". ".join(" ".join(rng.choice(("river", "stone", "walks", "slowly", "under", "green")) + str(rng.randrange(99)) for _ in range(9)) for _ in range(5)) + "."
