@@ -271,8 +271,73 @@ def test_large_and_deep_pages_have_a_wrapper(spark):
     assert got[0].split("\n")[:2] == ["part 0 0", "text 0 0"] and got[6:] == [f"page {i}" for i in range(6)]
 
 
-def test_tree_matching_counts_equal_nodes():
-    a = html_extract.fold(html_extract.parse("<div><p>x</p><ul><li>1</li><li>2</li></ul><b>z</b></div>"))
-    b = html_extract.fold(html_extract.parse("<div><ul><li>9</li></ul><b>z</b><i>q</i></div>"))
-    pairs = []
-    assert html_extract.match(a, b, pairs) == 5 == len(pairs)
+def weight_of(a, b, x=0, y=0):
+    """Simple tree matching by its textbook recursion."""
+    if a.label[x] != b.label[y]:
+        return 0
+    u, v = a.kids[x], b.kids[y]
+    best = [[0] * (len(v) + 1) for _ in range(len(u) + 1)]
+    for i in range(len(u)):
+        for j in range(len(v)):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + weight_of(a, b, u[i], v[j]))
+    return 2 + (a.words[x] == b.words[y]) + best[-1][-1]
+
+
+def test_alignment_is_the_heaviest_match():
+    rng = random.Random(5)
+
+    def tree():
+        t = html_extract.Tree()
+        t.add("#root", "", -1)
+        for _ in range(rng.randrange(14)):
+            t.add(rng.choice("abc"), rng.choice(["", "x", "y"]), rng.randrange(len(t.label)))
+        return t
+
+    for _ in range(300):
+        a, b = tree(), tree()
+        got = html_extract.align(a, b)
+        pairs = [(x, y) for x, y in enumerate(got) if y >= 0]
+        assert sum(2 + (a.words[x] == b.words[y]) for x, y in pairs) == weight_of(a, b)
+        assert len({y for _, y in pairs}) == len(pairs)
+        for x, y in pairs[1:]:
+            assert a.label[x] == b.label[y] and got[a.parent[x]] == b.parent[y]
+            for z, w in pairs[1:]:  # siblings keep their order
+                if a.parent[x] == a.parent[z] and a.kids[a.parent[x]].index(x) < a.kids[a.parent[z]].index(z):
+                    assert b.kids[b.parent[y]].index(y) < b.kids[b.parent[w]].index(w)
+
+
+def test_content_is_chosen_by_alignment_where_names_mislead(spark):
+    """No article, no telling names: menus, notices and articles are plain or wrongly named frames."""
+    story = lambda i: "".join(f"<p>Sentence {i} {k} of a story that goes on for some words.</p>" for k in range(3 + i % 4))
+    plain = [f"<body><div><a href=/{i}>Go {i}</a> <a href=/x{i}>Then {i}</a></div><div><h2>Title {i}</h2>{story(i)}</div><div>Tip {i}</div></body>" for i in range(8)]
+    wrong = [f"<body><div class=menu><a href=/{i}>Go {i}</a></div><div class=sidebar>{story(i)}</div><div class=content>Sale {i}</div></body>" for i in range(8)]
+    teasers = [f"<body><div>{story(i)}</div><div><article><a href=/{i}>See {i}</a></article><article><a href=/y{i}>Or {i}</a></article></div></body>" for i in range(8)]
+    rows = [(h, p) for h, ps in (("plain", plain), ("wrong", wrong), ("teasers", teasers)) for p in ps]
+    text = lambda i: "\n".join(f"Sentence {i} {k} of a story that goes on for some words." for k in range(3 + i % 4))
+    want = [f"Title {i}\n{text(i)}" for i in range(8)] + [text(i) for i in range(8)] * 2
+    assert read_pages(spark, rows) == want
+    # Without a wrapper (the only page of a host) names choose, and are misled.
+    assert html_extract.extract(wrong[0]) == "Sale 0"
+    # Wrappers joined by a shuffle give the same.
+    df = spark.createDataFrame([(i, f"http://{h}.example/{i}", p) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string")
+    assert [r["text"] for r in html_extract.main_text(df, broadcast_bytes=-1).orderBy("page_id").collect()] == want
+
+
+def test_comments_and_short_articles_are_not_taken_for_content(spark):
+    """Long comments beside a short article: the place is not clear, so names decide."""
+    talk = lambda i: "".join(f"<p>Reader {i} {k} writes at length about many things and more.</p>" for k in range(6))
+    rows = [("talk", f"<body><article><h1>News {i}</h1><p>Short {i}.</p></article><section class=comments>{talk(i)}</section></body>") for i in range(7)]
+    assert read_pages(spark, rows) == [f"News {i}\nShort {i}." for i in range(7)]
+
+
+def test_wide_pages_align_in_bounded_time():
+    many = html_extract.fold(html_extract.parse("<body>" + "".join(f"<div id=a{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}><div>{'<div>x</div>' * 12}</div></div>" for k in range(3000))))
+    alternate = html_extract.fold(html_extract.parse("<body>" + "<h2>t</h2><div><p>x</p></div>" * 3000))
+    nested = "<div>x</div>"
+    for _ in range(4):
+        nested = "<div>" + nested * 8 + "</div>"
+    deep = html_extract.fold(html_extract.parse(nested))
+    for t in (many, alternate, deep):
+        assert html_extract.align(t, t) == list(range(len(t.label)))
+        assert html_extract.Tree.unpack(t.pack()).label == t.label
+
