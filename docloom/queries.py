@@ -184,14 +184,36 @@ def html_heading_counts(spark, d):
     )
 
 
-@query()
+# Tokens of a page, the balance of starts and ends up to each, and the intervals of block elements.
+_BLOCK_TAGS = "('p', 'li', 'blockquote', 'pre', 'td', 'th', 'tr', 'figcaption', 'title', 'text', 'h1', 'h2', 'h3', 'h4', 'h5', 'h6')"
+_BLOCKS = rf"""tok AS (SELECT page_id, unnest(t) AS x, generate_subscripts(t, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>|<[^>]*$|[^<]+') AS t FROM pages)),
+named AS (SELECT page_id, i, x, lower(regexp_extract(x, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, regexp_matches(x, '^<[a-zA-Z].*>$', 's') AS opens, x LIKE '</%' AS closes, x NOT LIKE '<%' AS plain FROM tok),
+step AS (SELECT *, sum(CASE WHEN tag IN ('script', 'style') THEN 0 WHEN closes THEN -1 WHEN opens AND tag NOT IN ('area', 'base', 'br', 'col', 'embed', 'hr', 'img', 'input', 'link', 'meta', 'param', 'source', 'track', 'wbr') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS balance FROM named),
+span AS (SELECT a.page_id, a.i, a.tag, min(b.i) AS stop FROM step a LEFT JOIN step b ON a.page_id = b.page_id AND b.i > a.i AND b.balance < a.balance WHERE a.opens AND a.tag IN {_BLOCK_TAGS} GROUP BY ALL),
+outermost AS (SELECT * FROM span s WHERE stop IS NOT NULL AND NOT EXISTS (SELECT 1 FROM span o WHERE o.page_id = s.page_id AND o.i < s.i AND (o.stop IS NULL OR o.stop > s.i))),
+joined AS (SELECT o.page_id, o.i, o.tag, string_agg(CASE WHEN t.plain THEN replace(replace(replace(replace(replace(replace(t.x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') ELSE chr(10) END, ' ' ORDER BY t.i) AS content
+  FROM outermost o JOIN step t ON t.page_id = o.page_id AND t.i > o.i AND t.i < o.stop AND (t.plain OR (t.opens AND t.tag = 'br')) GROUP BY ALL),
+cleaned AS (SELECT page_id, i, tag, regexp_replace(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '[ \t]+\n', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS content FROM joined),
+blocks AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS ordinal, row_number() OVER (PARTITION BY page_id, tag ORDER BY i) AS tag_ordinal, CASE WHEN regexp_full_match(tag, 'h[1-6]') THEN CAST(substr(tag, 2) AS BIGINT) END AS level,
+  CASE WHEN regexp_full_match(tag, 'h[1-6]') THEN 'heading' WHEN tag IN ('td', 'th', 'tr') THEN 'table' ELSE 'paragraph' END AS unit_type FROM cleaned WHERE content <> '')"""
+
+
+@query(
+    f"""WITH {_BLOCKS} SELECT b.page_id, b.ordinal, b.unit_type, b.tag, b.tag_ordinal, b.level, b.content,
+  coalesce((SELECT h.content FROM blocks h WHERE h.page_id = b.page_id AND h.level IS NOT NULL AND h.ordinal <= b.ordinal ORDER BY h.ordinal DESC LIMIT 1), '') AS heading FROM blocks b"""
+)
 def html_block_units(spark, d):
     from docloom.sources import html
 
-    return html.blocks(table(spark, d, "pages"), "page_id", "html")
+    rows = html.blocks(table(spark, d, "pages"), "page_id", "html")
+    counts = [F.col(c).cast("long").alias(c) for c in ("ordinal", "tag_ordinal", "level")]
+    return rows.select("page_id", counts[0], "unit_type", "tag", counts[1], counts[2], "content", F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit("")).alias("heading"))
 
 
-@query()
+@query(
+    f"""WITH {_BLOCKS}, n AS (SELECT page_id, count(*) AS n_units, count(*) FILTER (WHERE unit_type = 'heading') AS n_headings, count(*) FILTER (WHERE unit_type = 'paragraph') AS n_paragraphs FROM blocks GROUP BY page_id)
+SELECT page_id, n_units, n_headings, n_paragraphs, CAST(0 AS BIGINT) AS n_issues, least(n_units, 5) AS returned, CASE WHEN n_units > 5 THEN 5 END AS next_offset FROM n"""
+)
 def html_page_summary(spark, d):
     rows = html_block_units(spark, d).withColumn("role", units.role(F.col("unit_type"), F.col("tag"))).withColumn("n_issues", F.lit(0))
     return units.page_summary(rows, "page_id", 0, 5)

@@ -1,6 +1,7 @@
 """Readers on small documents built here."""
 
 import io
+import random
 import struct
 import zipfile
 import zlib
@@ -121,12 +122,49 @@ def test_hwp():
 
 def test_html_blocks_and_cells():
     got = html.block_units("<h1>A</h1><p>one <b>two</b><br>three</p><script>x</script><ul><li>i</li></ul><h2>B</h2><td>c</td>")
-    assert [(u["unit_type"], u["content"], u["heading_path"]) for u in got] == [("heading", "A", ["A"]), ("paragraph", "one two\nthree", ["A"]), ("list_item", "i", ["A"]), ("heading", "B", ["A", "B"]), ("table", "c", ["A", "B"])]
+    assert [(u["unit_type"], u["content"], u["heading_path"]) for u in got] == [("heading", "A", ["A"]), ("paragraph", "one  two\n three", ["A"]), ("paragraph", "i", ["A"]), ("heading", "B", ["A", "B"]), ("table", "c", ["A", "B"])]
     assert html.block_units("<div>only text</div>")[0]["unit_type"] == "document_text"
     cells = html.table_cells("<table><tr><th rowspan=2>a<th colspan=2>b</tr><tr><td>c<td></tr><tr><td rowspan=0>d<td colspan=x>e</tr></table>")
     assert [(c["row"], c["col"], c["text"], c["issue"]) for c in cells] == [(0, 0, "a", None), (0, 1, "b", None), (1, 1, "c", None), (1, 2, "", None), (2, 0, "d", None), (2, 1, "e", "span_invalid")]
 
 
+def test_html_blocks_are_the_outermost_intervals():
+    """Against the definition, token by token and quadratic."""
+    rng = random.Random(11)
+    names = ["p", "div", "li", "b", "br", "h1", "h3", "script", "td"]
+    for _ in range(400):
+        source = "".join(rng.choice([f"<{n}>", f"</{n}>", f"t{i} ", f"<{n}/>"]) for i in range(rng.randrange(25)) for n in [rng.choice(names)])
+        rows, quiet, audible = html.tokens(source), 0, []
+        for step, name in rows:
+            if name == "script" and step and (step > 0 or quiet):
+                quiet += step
+            elif not quiet:
+                audible.append((step, name))
+        step_of = [0 if s > 0 and n == "br" else s for s, n in audible]
+        spans = {}
+        for i, (s, n) in enumerate(audible):
+            if s > 0 and n in html.BLOCKS:
+                ends = [j for j in range(i + 1, len(audible)) if sum(step_of[i + 1 : j + 1]) < 0]
+                spans[i] = ends[0] if ends else None
+        outer = [(i, e) for i, e in spans.items() if not any(o < i and (f is None or i < f) for o, f in spans.items())]
+        want = []
+        for i, e in outer:
+            parts = [n if not s else "\n" for s, n in audible[i + 1 : e] if not s or s > 0 and n == "br"]
+            if e is not None and " ".join(parts).strip():
+                want.append((audible[i][1], " ".join(parts).split()))
+        got = [(u["tag"], u["content"].split()) for u in html.block_units(source) if u["tag"]]
+        assert got == want, source
+        paths = []
+        for tag, text in want:
+            if tag in html.HEADINGS:
+                paths = paths[: html.HEADINGS[tag] - 1] + [text]
+        if got:
+            assert [x.split() for x in html.block_units(source)[-1]["heading_path"]] == paths
+    assert html.block_units("<h3>deep</h3><h2>up</h2><p>x</p>")[2]["heading_path"] == ["deep", "up"]
+    assert html.block_units("<p>open <div>x") == [] and html.block_units(None) == []
+    assert len(html.block_units("<p>x</p>" * 30000)) == 30000
+
+
 def test_markdown(spark):
     source = "# A #\n\ntext\nmore\n## B\n| x | y |\n|---|:-:|\n| 1 | 2\\|3 |\n\n[^q]: note\n"
     df = spark.createDataFrame([(1, source), (2, None)], "doc_id long, t string")
