@@ -6,11 +6,13 @@ of every W hashes in a row the smallest is kept.  Two texts that share a span of
 K + W - 1 words, which is WINDOW, keep a common hash inside it, so no shared
 span of WINDOW words is missed.
 
-1. The kept hashes of the items are joined with those of the documents; a
-   document with a common hash is a candidate for the item.
-2. Hits are extended in candidate documents only: their WINDOW-word spans are
-   joined with those of the items on a 64-bit hash of the words, and the words
-   themselves are compared.
+1. One pass over the documents splits their words, counts and winnows them; the
+   kept hashes go to the shared folder and are joined with those of the items.  A
+   document with a common hash is a candidate.
+2. Hits are extended in candidate documents only, the only ones whose words are
+   split again: their WINDOW-word spans are joined with the distinct windows of
+   the items on a 64-bit hash of the words, and the words themselves are
+   compared.  The items of a window are looked up once for each document and window.
 
 Items of fewer than WINDOW words are one window of their own length; for each
 such length (nine at most) the documents' grams of that length are joined in
@@ -22,9 +24,11 @@ results.  The items' side is broadcast while it has at most BROADCAST_ROWS
 rows, else joined by a shuffle; candidates likewise.
 
 Defined results: a null text has no words; a document or item without words has
-no hits; items that repeat under one id count once; a null item_id is never
-counted or listed; an item_id is listed as a string; a null doc_id is treated like any other
-value; empty tables give no hits.
+no hits; items that repeat under one id count once; an item with a null item_id
+marks words like any other, but is not counted or listed; an item_id is listed as
+a string; a null doc_id is treated like any other value, here and where rows are
+dropped; empty tables give no hits; texts may be of any length; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -135,36 +139,52 @@ def _join(left: DataFrame, right: DataFrame, small: bool, on: list[str] | str, h
     return left.join(F.broadcast(right) if small else right, on, how)
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document row: the key, n_words, n_hit, n_items and item_ids (sorted strings)."""
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    items = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).cast("string").alias("item"), words(F.col(item_text)).alias("w")).where(F.size("w") > 0)
+def _null_safe(left: DataFrame, right: DataFrame, small: bool, how: str) -> DataFrame:
+    """left joined with right on (key, row); right's other columns follow."""
+    l, r = left.alias("l"), (F.broadcast(right) if small else right).alias("r")
+    out = l.join(r, F.col("l.row").eqNullSafe(F.col("r.row")) & F.col("l.key").eqNullSafe(F.col("r.key")), how)
+    return out if how in ("left_semi", "left_anti") else out.select("l.*", *(F.col(f"r.{c}") for c in right.columns if c not in ("key", "row")))
+
+
+def _found(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Of docs (key, row, text) and items (item, text): (key, row, n_words) of all rows, (key, row, n_hit) of the contaminated ones,
+    (key, row, item_ids) of those that hold named items, and whether the last two may be broadcast."""
+    items = items.select("item", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     own_length = lambda n: F.size("w") == n if n < WINDOW else F.size("w") >= WINDOW
-    windows, few_windows = _small(spans(items, range(1, WINDOW + 1), own_length).select("item", "h", "len", F.col("words").alias("window")).distinct())
+    named = cut(spans(items, range(1, WINDOW + 1), own_length).select("item", "h", "len", F.col("words").alias("window")).distinct())
+    windows, few_windows = _small(named.select("h", "len", "window").distinct())
     short = sorted(r["len"] for r in windows.where(F.col("len") < WINDOW).select("len").distinct().collect())
     # Prints: (hash, 0) for kept hashes, (hash, length) for short items.
     kept = with_kept(with_grams(items.where(F.size("w") >= WINDOW).select("w"), [K])).select(F.explode_outer("kept").alias("h"), F.lit(0).alias("len")).where("h is not null")
     prints, few_prints = _small(kept.unionByName(windows.where(F.col("len") < WINDOW).select("h", "len")).distinct())
 
-    worded = docs.select("key", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), words(F.col("text")).alias("w"))
-    own = with_kept(with_grams(worded, sorted({K, *short})))
+    own = with_kept(with_grams(docs.select("key", "row", words(F.col("text")).alias("w")), sorted({K, *short})))
     kinds = [F.transform("kept", _print(0)), *(F.transform(F.array_distinct(f"g_{n}"), _print(n)) for n in short)]
-    own = own.select("key", "row", F.explode_outer(F.concat(*kinds)).alias("p")).where("p is not null").select("key", "row", F.col("p.h").alias("h"), F.col("p.len").alias("len"))
-    candidates, few = _small(_join(own, prints, few_prints, ["h", "len"], "left_semi").select("key", "row").distinct())
-
-    # Extension: the spans of candidates only.
-    marked = _null_safe(worded, candidates, few)
-    hits = _join(spans(marked, [*short, WINDOW]), windows, few_windows, ["h", "len"]).where(F.col("words") == F.col("window")).select("key", "row", "at", "len", "item")
-    per_item = hits.select("key", "row", "item").distinct().groupBy("key", "row").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    covered = hits.select("key", "row", "at", "len").distinct().select("key", "row", F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("at")).distinct()
-    per_doc = covered.groupBy("key", "row").agg(F.count("*").alias("n_hit"))
-    found, few_found = _small(per_doc.alias("a").join(per_item.alias("b"), F.col("a.key").eqNullSafe(F.col("b.key")) & (F.col("a.row") == F.col("b.row"))).select("a.key", "a.row", "n_hit", "item_ids"))
-
-    counted = worded.select("key", "row", F.size("w").cast("long").alias("n_words")).alias("d")
-    right = (F.broadcast(found) if few_found else found).alias("f")
-    out = counted.join(right, F.col("d.row").eqNullSafe(F.col("f.row")) & F.col("d.key").eqNullSafe(F.col("f.key")), "left")
+    first = cut(own.select("key", "row", F.size("w").cast("long").alias("n_words"), F.concat(*kinds).alias("prints")))
+    met = first.select("key", "row", F.explode("prints").alias("p")).select("key", "row", "p.h", "p.len")
+    candidates, few = _small(_join(met, prints, few_prints, ["h", "len"], "left_semi").select("key", "row").distinct())
+
+    # Extension: words are split behind the join, so that only those of candidates are.
+    marked = _null_safe(docs, candidates, few, "left_semi").select("key", "row", words(F.col("text")).alias("w"))
+    hits = cut(_join(spans(marked, [*short, WINDOW]), windows, few_windows, ["h", "len"]).where(F.col("words") == F.col("window")).select("key", "row", "at", "len", "h", "window").distinct())
+    covered = hits.select("key", "row", F.explode(F.sequence("at", F.col("at") + F.col("len") - 1)).alias("at")).distinct()
+    per_doc, few_found = _small(covered.groupBy("key", "row").agg(F.count("*").alias("n_hit")))
+    of_window = named.where("item is not null")
+    listed = _join(hits.select("key", "row", "h", "len", "window").distinct(), of_window, of_window.count() <= BROADCAST_ROWS, ["h", "len", "window"])
+    per_item = listed.groupBy("key", "row").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
+    return first.select("key", "row", "n_words"), per_doc, per_item, few_found
+
+
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("row"), F.col(text).alias("text"))
+
+
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document row: the key, n_words, n_hit, n_items and item_ids (sorted strings)."""
+    counted, per_doc, per_item, few = _found(_keyed(docs, key, text), items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text")))
+    out = _null_safe(_null_safe(counted, per_doc, few, "left"), per_item, few, "left")
     return out.select(
-        F.col("d.key").alias(key),
+        F.col("key").alias(key),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
@@ -172,16 +192,12 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     )
 
 
-def _null_safe(left: DataFrame, right: DataFrame, small: bool) -> DataFrame:
-    r = (F.broadcast(right) if small else right).alias("r")
-    return left.alias("l").join(r, F.col("l.row").eqNullSafe(F.col("r.row")) & F.col("l.key").eqNullSafe(F.col("r.key")), "left_semi")
-
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs without the rows that share a window with an item; by id, so that all rows of a contaminated id go."""
-    hit = contamination(docs.where(F.col(key).isNotNull()), items, key, text, item_key, item_text).where("n_hit > 0").select(key).distinct()
-    hit, few = _small(hit)
-    return docs.join(F.broadcast(hit) if few else hit, key, "left_anti").select(*docs.columns)
+    """docs without the rows that share a window with an item, whatever their ids; each row is judged by its own text."""
+    _, hit, _, few = _found(_keyed(docs, key, text), items.select(F.col(item_key).cast("string").alias("item"), F.col(item_text).alias("text")))
+    rows = F.xxhash64(F.coalesce(F.col(f"l.{text}"), F.lit("")))
+    l, r = docs.alias("l"), (F.broadcast(hit) if few else hit).alias("r")
+    return l.join(r, rows.eqNullSafe(F.col("r.row")) & F.col(f"l.{key}").eqNullSafe(F.col("r.key")), "left_anti")
 
 
 def digests(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
