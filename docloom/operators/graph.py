@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import cut
+from docloom.session import cut, discard
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -21,9 +21,11 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("l").alias("m"))
         moved = labels.join(least, "u").select("u", F.least("l", "m").alias("l"))
         jump = moved.select(F.col("u").alias("l"), F.col("l").alias("far"))
-        labels = cut(moved.join(jump, "l", "left").select("u", F.least("l", F.coalesce("far", "l")).alias("l")))
+        last, labels = labels, cut(moved.join(jump, "l", "left").select("u", F.least("l", F.coalesce("far", "l")).alias("l")))
         now = labels.agg(F.sum(F.xxhash64("u", "l").cast("decimal(38,0)"))).first()[0]
+        discard(last)
         if now == before:
+            discard(both)
             return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
         before = now
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +43,47 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
+    sc = df.sparkSession.sparkContext
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        out._docloom_file = file.get()
+        if not hasattr(sc, "_docloom_cuts"):
+            sc._docloom_cuts = []
+        sc._docloom_cuts.append(out._docloom_file)
+    return out
+
+
+def remove(spark: SparkSession, files: list[str]) -> None:
+    """Deletes files or folders of the shared folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for file in files:
+        path = hadoop(file)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes what cut() kept of these; for results that nothing reads any more, as those of earlier rounds."""
+    for df in dfs:
+        file = df.__dict__.pop("_docloom_file", None)
+        if file is not None:
+            remove(df.sparkSession, [file])
+            df.sparkSession.sparkContext._docloom_cuts.remove(file)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what cut() kept inside; the results made inside must have been written or collected by then."""
+    sc = spark.sparkContext
+    before = set(getattr(sc, "_docloom_cuts", ()))
+    try:
+        yield
+    finally:
+        inside = [f for f in getattr(sc, "_docloom_cuts", ()) if f not in before]
+        remove(spark, inside)
+        sc._docloom_cuts = [f for f in getattr(sc, "_docloom_cuts", ()) if f in before]
 
 
 def ship(spark: SparkSession) -> None:
