@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import cut, shared_folder, table
+from docloom.session import cut, discard, scratch, shared_folder, table
 
 #: Texts are worked on in slices of at most this many bytes (one row at least).
 SLICE_BYTES = 1 << 20
@@ -24,7 +24,7 @@ BATCH_BYTES = 8 << 20
 BROADCAST_ROWS = 2_000_000
 
 
-__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "held_out", "id_crc", "map_arrow", "map_texts", "read", "shared_folder", "slices"]
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "held_out", "id_crc", "map_arrow", "map_texts", "read", "scratch", "shared_folder", "slices"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import cut
+from docloom.llm.common import cut, discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,5 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while (is_now := state(now)) != before and is_now[0]:
         before = is_now
-        now = cut(_small_star(_large_star(now)))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+        last, now = now, cut(_small_star(_large_star(now)))
+        discard(last)
+    out = cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct()))
+    discard(now)
+    return out

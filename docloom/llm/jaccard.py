@@ -25,14 +25,20 @@ into components.  Then members of different components are compared, all of
 them, in strips within a task; only pairs that pass the filters leave it.  Long
 lists are salted into parts by a hash of the member: each part has a first
 member of its own, these are compared with one of them, and later the members
-outside the list's largest component visit every part.  So no link between
-different components is lost, and components are those of the complete join.
+outside the list's largest component visit every part, in groups of about a
+part's size.  So a task holds about two parts, no link between different
+components is lost, and components are those of the complete join.
+
+Ids may be of any type that has an order: integers are used as they are, others
+are numbered in their order.
 
 Defined results: a null or empty text, or one without words, has an empty set and
-links with nothing; a null id takes no part and has a null component; rows that
-share an id are one document (a link of either is a link of the id); ties need
-no order, since components do not depend on pairs found twice; an empty table
-gives an empty table.
+links with nothing; a null id takes no part in similar_components() and has a
+null component there, while keep_one() compares rows without an id like any
+others; rows that share an id are one document (a link of either is a link of
+the id); ties need no order, since components do not depend on pairs found
+twice; texts may be of any length; an empty table gives an empty table; other columns, whatever
+their names, are kept by keep_one() and not read.  Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -46,8 +52,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docloom.llm.common import BROADCAST_ROWS, cut, map_arrow, map_texts, slices
+from docloom.llm.common import BROADCAST_ROWS, cut, discard, map_arrow, map_texts, slices
 from docloom.llm.components import components
 
 SIZE = 4
@@ -236,6 +243,10 @@ class Lists:
         return ok
 
 
+#: What a row of a list is where parts meet: a member of the part, one from another part, or a member that is there again for more guests.
+OWN, GUEST, AGAIN = 0, 1, 2
+
+
 def _star(rows: Lists, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Each member against the first of its list."""
     head = np.repeat(bounds[:-1], np.diff(bounds))
@@ -245,19 +256,21 @@ def _star(rows: Lists, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np
 
 
 def _across(rows: Lists, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members of different components: those outside a part's largest one, and all guests, against the part's own members.
+    """Members of different components: those outside a part's largest one, and guests, against the part's own members.
 
-    The comparisons run in strips of bounded size.
+    Further groups of guests meet own members that are there again for them.  The comparisons run in strips of bounded size.
     """
-    guest = rows.keys[:, -1] == 1
+    guest = rows.keys[:, -1] == GUEST
     left, right = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
     for a, b in zip(bounds, bounds[1:], strict=False):
         own = a + np.flatnonzero(~guest[a:b])
         comps, which, size = np.unique(rows.comp[own], return_inverse=True, return_counts=True)
-        if not len(own) or len(comps) < 2 and len(own) == b - a:
+        guests = a + np.flatnonzero(guest[a:b])
+        if not len(own) or len(comps) < 2 and not len(guests):
             continue
         large = which == size.argmax()
-        rest = np.concatenate([own[~large], a + np.flatnonzero(guest[a:b])])
+        again = rows.keys[own[0], -1] == AGAIN
+        rest = guests if again else np.concatenate([own[~large], guests])
         strip = max(1, (1 << 20) // len(own))
         for k in range(0, len(rest), strip):
             i, at = (x.ravel() for x in np.meshgrid(rest[k : k + strip], np.arange(len(own)), indexing="ij"))
@@ -322,21 +335,32 @@ def _sifted(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
+    pairs = cut(pairs)
     wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = _sets(docs.join(_bounded(wanted.count(), wanted), "id", "left_semi"), size)
     met = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
     common = F.size(F.array_intersect("one", "two"))
-    return met.where(common * 100 >= (F.size("one") + F.size("two") - common) * percent).select("a", "b").distinct()
+    out = cut(met.where(common * 100 >= (F.size("one") + F.size("two") - common) * percent).select("a", "b").distinct())
+    discard(pairs, wanted)
+    return out
 
 
 def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, part: int = LIST) -> DataFrame:
-    """Per row of df: the key (long), n_shingles and component_id, the smallest key reachable by links."""
+    """Per row of df: the key, n_shingles and component_id, the smallest key reachable by links (both of the key's type)."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, T.IntegralType):
+        names = _numbered(df.select(F.col(key).alias("name")))
+        rows = df.select(F.col(key).alias("name"), F.col(text).alias("text")).join(names, "name", "left").select("id", "text")
+        found = similar_components(rows, "id", "text", size, percent, part)
+        named = found.join(names.toDF("k", "id"), "id", "left").join(names.toDF("c", "component_id"), "component_id", "left")
+        return named.select(F.col("k").alias(key), "n_shingles", F.col("c").alias("component_id"))
     docs = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed, table = _signatures(docs, size)
     live = signed.where("n > 0 and id is not null")
     # Kept apart from its aggregation, so that a class of very many copies can be split in the join.
     classes = cut(live.groupBy("sig", "n").agg(F.min("id").alias("rep")))
     member = cut(live.join(classes, ["sig", "n"]).select("id", "rep").distinct())
+    discard(classes)
     copies = member.groupBy("id").agg(F.min(F.col("rep")).alias("least"), F.max(F.col("rep")).alias("most"), F.max((F.col("rep") == F.col("id")).cast("int")).alias("own"))
     others = copies.where("own = 0").select("id")
     n_others = others.count()
@@ -363,33 +387,57 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
             # One nearest pivot for each member; what it does not link to is compared below.
             near = _sifted(near, wide, percent).groupBy("a").agg(F.min(F.struct("apart", "b")).alias("best")).select("a", "best.b")
         else:
-            # In a list of several parts, members outside its largest component are guests in all other parts.
+            # In a list of several parts, members outside its largest component are guests in all other parts, in groups of about a part's size.
             split = placed.where("parts > 1")
             largest = split.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max(F.struct("c", "comp"))["comp"].alias("largest"))
-            guests = split.join(largest, "token").where("comp <> largest").drop("largest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            guests = guests.where("other <> salt").withColumn("salt", F.col("other")).drop("other").withColumn("guest", F.lit(1))
-            rows = placed.withColumn("guest", F.lit(0)).unionByName(guests).join(parity, ["id", "n"])
-            near = _list_pairs(rows, ["token", "salt"], ["id"], percent, _across, ("guest",))
+            guests = split.join(largest, "token").where("comp <> largest").drop("largest")
+            groups = guests.groupBy("token").agg(F.ceil(F.count("*") / part).cast("int").alias("groups"))
+            sent = guests.join(groups, "token").withColumn("group", F.pmod(F.xxhash64("id"), "groups").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            sent = sent.where("other <> salt").withColumn("salt", F.col("other")).drop("other", "groups").withColumn("role", F.lit(GUEST))
+            again = split.join(groups.where("groups > 1"), "token").withColumn("group", F.explode(F.sequence(F.lit(1), F.col("groups") - 1))).drop("groups").withColumn("role", F.lit(AGAIN))
+            rows = placed.withColumn("group", F.lit(0)).withColumn("role", F.lit(OWN)).unionByName(sent).unionByName(again).join(parity, ["id", "n"])
+            near = _list_pairs(rows, ["token", "salt", "group"], ["id"], percent, _across, ("role",))
             near = _sifted(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), wide, percent).select("a", "b")
-        near = cut(near)
-        links = cut(links.union(_verified(near, own, size, percent)).distinct())
-        merged = cut(components(links))
+        more = _verified(near, own, size, percent)
+        before = links, merged
+        links = cut(links.union(more).distinct())
+        merged = components(links)
+        discard(placed, more, *before)
+    discard(lists, links)
     reached = member.join(merged.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.join(reached, "id", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select(F.col("id").cast(kind).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").cast(kind).alias("component_id"))
+
+
+def _numbered(names: DataFrame) -> DataFrame:
+    """(name, id): numbers of the distinct non-null names, in their order."""
+    return cut(names.where("name is not null").distinct().orderBy("name").withColumn("id", F.monotonically_increasing_id()))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """df without the documents that are not the first of their component.
+    """df without the documents that are not the first of their component; rows without a key come after all others.
 
-    Rows with a null key stay; of rows that share a key one stays.
+    Of rows that share a key one stays; of rows without a key those stay that are no copy of another document.
     """
-    found = cut(similar_components(df, key, text, size, percent))
-    gone = found.where(F.col("component_id") < F.col(key)).select(key).distinct()
-    repeated = cut(found.where(F.col(key).isNotNull() & (F.col("component_id") == F.col(key))).groupBy(key).count().where("count > 1").select(key))
+    rid = "__rid"
+    while rid in df.columns:
+        rid += "_"
+    if isinstance(df.schema[key].dataType, T.IntegralType):
+        named = df.where(F.col(key).isNotNull()).withColumn(rid, F.col(key).cast("long"))
+    else:
+        names = _numbered(df.select(F.col(key).alias("name")))
+        named = df.where(F.col(key).isNotNull()).join(names.toDF(key, rid), key).select(*df.columns, rid)
+    if not df.where(F.col(key).isNull()).isEmpty():
+        first = named.agg(F.greatest(F.coalesce(F.max(rid), F.lit(0)), F.lit(0))).first()[0] + 1
+        # Kept, as numbers given to rows must not change.
+        named = named.union(cut(df.where(F.col(key).isNull()).withColumn(rid, F.monotonically_increasing_id() + F.lit(first)).select(*df.columns, rid)))
+    found = cut(similar_components(named.select(F.col(rid).alias("id"), F.col(text).alias("text")), "id", "text", size, percent))
+    gone = found.where("component_id < id").select(F.col("id").alias(rid)).distinct()
+    repeated = cut(found.where("component_id = id").groupBy(F.col("id").alias(rid)).count().where("count > 1").select(rid))
     n_repeated = repeated.count()
     away = cut(gone.union(repeated))
-    kept = df.join(_bounded(away.count(), away), key, "left_anti").select(*df.columns)
+    discard(found)
+    kept = named.join(_bounded(away.count(), away), rid, "left_anti").select(*df.columns)
     if n_repeated:
-        kept = kept.union(df.join(_bounded(n_repeated, repeated), key, "left_semi").dropDuplicates([key]).select(*df.columns))
+        kept = kept.union(named.join(_bounded(n_repeated, repeated), rid, "left_semi").dropDuplicates([rid]).select(*df.columns))
     return kept

@@ -2,6 +2,7 @@
 
 import collections
 import gzip
+import pathlib
 import random
 import re
 import zlib
@@ -71,8 +72,51 @@ def test_components_equal_all_pairs(spark, part):
             assert (r["doc_id"], r["n_shingles"]) in sizes
     kept = jaccard.keep_one(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted(set(wanted.values())) and ids.count(None) == 2
+    left = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(i for i, _ in left if i is not None) == sorted(set(wanted.values()))
+    # Without an id: a copy goes, what is no copy stays.
+    assert [t for i, t in left if i is None] == [None]
+
+
+def test_near_copies_of_ids_that_are_text_or_missing(spark):
+    rng = random.Random(8)
+    rows = corpus(rng, 80)
+    names = {i: f"k{i:04d}" for i, _ in rows}
+    wanted, _ = brute_components(rows)
+    df = spark.createDataFrame([(names[i], t, "x") for i, t in rows] + [(None, "a b c d e", "x")], "doc_id string, text string, id string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(df).collect()}
+    assert got == {names[i]: names[c] for i, c in wanted.items()} | {None: None}
+    assert sorted(r["doc_id"] or "" for r in jaccard.keep_one(df).collect()) == ["", *sorted({names[c] for c in wanted.values()})]
+    # Rows without ids alone: one of each group of copies stays, and rows without words stay.
+    lost = spark.createDataFrame([(None, t) for _, t in rows] + [(None, ""), (None, None)], "doc_id long, text string")
+    kept = [r["text"] for r in jaccard.keep_one(lost).collect()]
+    alone, _ = brute_components(list(enumerate(t for _, t in rows)))
+    assert len(kept) == len(set(alone.values())) + 2 and "" in kept and None in kept
+    assert len({alone[[t for _, t in rows].index(t)] for t in kept if t}) == len(set(alone.values()))
+
+
+def test_guests_of_long_lists_meet_every_part(spark):
+    """A hot token in every prefix: a third of the members are in one component, the others each in one of their own or in pairs across parts."""
+    rng = random.Random(4)
+    rows = [(i, "hot hot hot hot " + " ".join(f"c{k}" for k in range(10)) + f" v{i % 3}") for i in range(30)]
+    for i in range(60):
+        words = [f"u{i // 2}x{k}" for k in range(26)]
+        rows.append((100 + i, "hot hot hot hot " + " ".join(words) + (f" e{i}" if rng.random() < 0.7 else "")))
+    wanted, _ = brute_components(rows)
+    for part in (2, 7):
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(docs(spark, rows), part=part).collect()}
+        assert got == wanted
+
+
+def test_checkpoints_of_earlier_rounds_go(spark):
+    folder = pathlib.Path(common.shared_folder(spark).removeprefix("file:"))
+    count = lambda: len(list(folder.glob("rdd-*")))
+    before = count()
+    with common.scratch(spark):
+        found = jaccard.similar_components(docs(spark, corpus(random.Random(1), 60)))
+        assert count() - before <= 4  # signatures, members, components
+        assert found.count() == 60
+    assert count() == before
 
 
 def test_jaccard_of_nothing(spark):
