@@ -8,7 +8,12 @@ Defined results: a text without letters, a null text, or one rejected by
 distance leaves at the first stage; of each component of near copies the
 document with the smallest id stays; a document that shares a window with a
 benchmark item leaves; personal data are masked and n_chars follows; an empty
-table passes through as an empty table.
+table passes through as an empty table.  A document without an id is judged by
+its text like any other, after those with ids; of repeated rows one stays; texts
+may be of any length; further columns pass through, whatever their names, but
+for those the last stage adds.
+
+What a stage keeps in the shared folder goes when its result is written, and that result goes when the next one is.
 """
 
 from __future__ import annotations
@@ -21,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, decontaminate, jaccard, langid, pii
-from docloom.llm.common import read, shared_folder
-from docloom.session import ship
+from docloom.llm.common import read, scratch, shared_folder
+from docloom.session import remove, ship
 
 
 #: Near copies of the pipeline: shingles of so many words, and the least similarity. op5_ngram_jaccard has its own contract.
@@ -69,9 +74,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each result is written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    last = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last is not None:
+            remove(spark, [last])
+        last = f"{folder}/{name}"
     return docs
 
 
