@@ -13,15 +13,16 @@ quantile of its language.
 
 Document frequencies and radii come from every training row.  Centroids are fitted on a
 bounded sample: about SAMPLE_PER_LANGUAGE rows of each language, those with the
-smallest seeded hashes of the id.  The model is a fixed-size table: BUCKETS
-weights for each of CENTROIDS centroids of at most MAX_LANGUAGES languages (the
-most frequent ones).
+smallest seeded hashes of the id.  The model is a table of a size that the
+languages alone set: BUCKETS weights for each of CENTROIDS centroids of every
+language (192 KB a language, whatever the number of rows).
 
 Defined results: a null text or one without a letter is "und" with score 0 and
 is rejected; ties go to the language first in code-point order; a null id is
 neither held out nor trained on; rows without a language are not trained on; no
-training rows: every text is "und".  Repeated rows give repeated results; an
-empty table gives an empty table.
+training rows: every text is "und".  Repeated rows give repeated results; texts
+may be of any length and are read whole; an empty table gives an empty table;
+further columns are kept, but for those of the names put out.
 """
 
 from __future__ import annotations
@@ -40,7 +41,6 @@ from docloom.llm.common import map_arrow, map_texts, slices
 BUCKETS = 1 << 14
 CENTROIDS = 3
 SAMPLE_PER_LANGUAGE = 500
-MAX_LANGUAGES = 256
 RADIUS_SHARE = 0.35
 RADIUS_QUANTILE = 0.02
 RADIUS_ROWS = 100
@@ -76,7 +76,8 @@ def vectors(texts: list[str], weights: np.ndarray | None = None) -> np.ndarray:
     rows, starts = _hashed(texts)
     out = np.empty((len(texts), BUCKETS), dtype=np.float32)
     for i in range(len(texts)):
-        out[i] = np.bincount(rows[:, starts[i] : starts[i + 1]].ravel(), minlength=BUCKETS)
+        # The n-grams at the last spaces of the padding would reach into the next text.
+        out[i] = np.bincount(rows[:, starts[i] : starts[i + 1] - 3].ravel(), minlength=BUCKETS)
     if weights is not None:
         np.sqrt(out, out=out)
         out *= weights
@@ -143,7 +144,7 @@ def _document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
             for t in texts:
                 hashed, _ = _hashed([t])
                 seen = np.zeros(BUCKETS, dtype=bool)
-                seen[hashed.ravel()] = True
+                seen[hashed[:, :-3].ravel()] = True
                 df[:BUCKETS] += seen
         live = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(live.astype(np.int32)), pa.array(df[live])], names=["bucket", "n"])
@@ -187,7 +188,7 @@ def _radii(rows: DataFrame, weights: np.ndarray, centroids: np.ndarray, language
 def fit(df: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
     """Learns from the rows of df for which train is true and lang is not null."""
     rows = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(F.lit("centroids"), F.col(key)).alias("at")).where(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     weights = np.zeros(BUCKETS, dtype=np.float32)
     if not counts:
         return Model(weights, np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))
