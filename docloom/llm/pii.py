@@ -6,7 +6,8 @@ out, the source range it came from:
 
 * look-alike letters, digits and marks of other scripts, and full-width forms;
 * zero-width characters, which vanish;
-* at signs and dots in disguise: "[at]", "(dot)", " AT x DOT com", "&#64;", "[.]";
+* at signs and dots in disguise: "[at]", "(dot)", " AT x DOT com", "&#64;", "[.]",
+  "x(a)y.com", "x@y .com", and a plus sign apart from its country code;
 * letters that pass for digits, in numbers of at least MIXED_DIGITS true digits;
 * digits spelled as words, at least SPELLED_WORDS in a run of four or more numbers.
 
@@ -17,8 +18,9 @@ changed.  All work is linear in the text.
 
 Defined results: offsets are code points of the source, end exclusive; a null
 text counts as empty and has no spans; ties in the start are ordered by kind
-(email, ip, card, phone); repeated rows give repeated results; an empty table
-gives an empty table.  Output columns replace input columns of the same name.
+(email, ip, card, phone); repeated rows give repeated results; texts may be of
+any length and are read whole; an empty table gives an empty table.  Output columns replace input columns of the same
+name.  Recall by disguise is in tests/llm/test_twins.py.
 """
 
 from __future__ import annotations
@@ -98,7 +100,7 @@ _LOOK_ALIKES = {
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
     "օ": "o", "ո": "n", "ս": "u", "ց": "g", "ı": "i", "ɡ": "g", "ɑ": "a",
-    "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "﹣": "-", "․": ".", "。": ".", "｡": ".", "﹒": ".", "﹫": "@", "\u00a0": " ", "\u2007": " ", "\u202f": " ", "\u2009": " ",
+    "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-", "﹣": "-", "․": ".", "。": ".", "【": "[", "】": "]", "〔": "[", "〕": "]", "〈": "<", "〉": ">", "《": "<", "》": ">", "\u207a": "+", "\u208a": "+", "\u207b": "-", "｡": ".", "﹒": ".", "﹫": "@", "\u00a0": " ", "\u2007": " ", "\u202f": " ", "\u2009": " ",
 }
 # Characters that show nothing.
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
@@ -118,24 +120,36 @@ for _zero in (0x0660, 0x06F0, 0x07C0, 0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x
     _FOLD |= {_zero + i: str(i) for i in range(10)}
 for _base in range(0x1D400, 0x1D6A4, 52):
     _FOLD |= {_base + i: chr((65 if i < 26 else 71) + i) for i in range(52)}
+for _base, _first in ((0x24B6, 65), (0x24D0, 97), (0x1F130, 65), (0x1F150, 65), (0x1F170, 65)):  # in circles and squares
+    _FOLD |= {_base + i: chr(_first + i) for i in range(26)}
 _FOLD |= {0x2460 + i: str(i + 1) for i in range(9)} | {0x24EA: "0"} | {0x2080 + i: str(i) for i in range(10)} | {0x2070: "0", 0xB9: "1", 0xB2: "2", 0xB3: "3"} | {0x2070 + i: str(i) for i in range(4, 10)}
 # All that is folded lies outside ASCII and, but for one letter, outside the Latin letters with marks.
 _FOLDED = re.compile("[^\x00-\x7f\xc0-\u0130\u0132-\u024f]")
 
 _WORDS = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_DOT_WORD = r"dot|d0t|punkt|point|punto"
-_AT_SIGN = rf"_at_|[ \t]*{_OPEN}[ \t]*(?:at|@|ät|arobase|arroba|klammeraffe)[ \t]*{_CLOSE}[ \t]*"
+# Words for the at sign and the dot in English, German, French, Spanish and, as folded, Russian.
+_DOT_WORD = "|".join(["dot", "d0t", "punkt", "point", "punto", "точка".translate(_FOLD)])
+_AT_WORD = "|".join(["at", "собака".translate(_FOLD), "эт".translate(_FOLD)])
+# Words that stand before a plain "at" without being a name.
+_NO_NAMES = frozenset("me us you him her them it we they i is are was were be here there look looking found available located based stay live lives living work works working meet see shop buy read more arrive arrived aim".split())
+_AT_SIGN = rf"_at_|[ \t]*{_OPEN}[ \t]*(?:{_AT_WORD}|@|ät|arobase|arroba|klammeraffe)[ \t]*{_CLOSE}[ \t]*"
 _DOT_SIGN = rf"_dot_|[ \t]*{_OPEN}[ \t]*(?:{_DOT_WORD}|\.)[ \t]*{_CLOSE}[ \t]*"
 _ENTITY_AT, _ENTITY_DOT = r"&#0*64;|&#x0*40;|&commat;|%40", r"&#0*46;|&#x0*2e;|&period;|%2e"
 _LABEL = r"[a-z0-9-]+"
 #: Rewrites: the groups named at and dot are what turns into "@" and ".".
 _SIGNS = re.compile(rf"(?i)(?<=[a-z0-9])(?:(?P<at>{_AT_SIGN}|{_ENTITY_AT})|(?P<dot>{_DOT_SIGN}|{_ENTITY_DOT}))(?=[a-z0-9])")
 _BARE = re.compile(
-    rf"(?i)(?<![a-z0-9._%+-])(?:[a-z0-9_%+-]+(?:\.[a-z0-9_%+-]+)*(?: dot [a-z0-9_%+-]+)?)(?P<sep> at | @ ?|(?<! )@ )(?P<host>{_LABEL}(?:(?: (?:{_DOT_WORD}) | ?\. ?|\.){_LABEL}){{0,4}}(?: (?:{_DOT_WORD}) | ?\. ?)(?:{_TOP}))(?![a-z0-9-])"
+    rf"(?i)(?<![a-z0-9._%+-])(?:[a-z0-9_%+-]+(?:\.[a-z0-9_%+-]+)*(?: dot [a-z0-9_%+-]+)?)(?P<sep> (?:{_AT_WORD}) | @ ?|(?<! )@ )(?P<host>{_LABEL}(?:(?: (?:{_DOT_WORD}) | ?\. ?|\.){_LABEL}){{0,4}}(?: (?:{_DOT_WORD}) | ?\. ?)(?:{_TOP}))(?![a-z0-9-])"
 )
+_WORDED_AT = re.compile(rf"(?i) (?:{_AT_WORD}) \Z")
 _BARE_DOT = re.compile(rf"(?i) (?:{_DOT_WORD}) | ?\. ?")
 _BARE_IP = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?: (?:{_DOT_WORD}) [0-9]{{1,3}}){{3}}(?![0-9])")
+# "x(a)site.com", and "x@site .com" or "x@site(.)com" once its dot is read.
+_PAREN_A = re.compile(rf"(?i)(?<=[a-z0-9])\(a\)(?={_LABEL}(?:(?:\.|{_DOT_SIGN}){_LABEL}){{0,4}}(?:\.|{_DOT_SIGN})(?:{_TOP})(?![a-z0-9-]))")
+_LATE_DOT = re.compile(rf"(?i)(?<=[a-z0-9])@{_LABEL}(?:\.{_LABEL}){{0,4}}(?P<dot> \.)(?:{_TOP})(?![a-z0-9-])")
+# A plus sign apart from its country code.
+_LATE_CODE = re.compile(r"(?<![0-9)=+*/] )(?<![0-9A-Za-z)=+*/])\+(?P<gap> )(?=[0-9]{1,3}[ .-][ ().0-9-]+[0-9])")
 #: Digit words that a run needs for a rewrite.
 SPELLED_WORDS = 3
 _ITEM = rf"(?:(?:{_WORDS})(?![^\W_])|[0-9]++)"
@@ -242,6 +256,9 @@ def rewrite(text: str) -> Tape | None:
     if not text.isascii() and (found := [(m.start(), m.end(), _FOLD[ord(m[0])]) for m in _FOLDED.finditer(text) if ord(m[0]) in _FOLD]):
         tape = tape.edit(found)
     low = tape.text.lower()
+    if "(a)" in low and (found := [(m.start(), m.end(), "@") for m in _PAREN_A.finditer(tape.text)]):
+        tape = tape.edit(found)
+        low = tape.text.lower()
     if _has_signs(low):
         if found := [(m.start(), m.end(), "@" if m["at"] else ".") for m in _SIGNS.finditer(tape.text)]:
             tape = tape.edit(found)
@@ -249,7 +266,7 @@ def rewrite(text: str) -> Tape | None:
     if _has_bare(low):
         found = []
         for m in _BARE.finditer(tape.text):
-            if m["sep"] == "@" or (m["sep"] == " at " and not re.search(rf"(?i) (?:{_DOT_WORD}) ", m["host"])):
+            if m["sep"] == "@" or (_WORDED_AT.match(m["sep"]) and (not re.search(rf"(?i) (?:{_DOT_WORD}) ", m["host"]) or m[0][: m.start("sep") - m.start()].lower() in _NO_NAMES)):
                 continue
             found.append((m.start("sep"), m.end("sep"), "@"))
             base = m.start("host")
@@ -259,6 +276,12 @@ def rewrite(text: str) -> Tape | None:
             found += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _BARE_DOT.finditer(m[0])]
         if found:
             tape = tape.edit(sorted(found))
+    if "@" in low and " ." in low and (found := [(m.start("dot"), m.end("dot"), ".") for m in _LATE_DOT.finditer(tape.text)]):
+        tape = tape.edit(found)
+        low = tape.text.lower()
+    if "+ " in low and (found := [(m.start("gap"), m.end("gap"), "") for m in _LATE_CODE.finditer(tape.text)]):
+        tape = tape.edit(found)
+        low = tape.text.lower()
     if _DIGIT.search(tape.text) and _MIXED_HINT.search(tape.text):
         found = []
         for m in _MIXED.finditer(tape.text):
