@@ -13,7 +13,9 @@ Defined results: a null text has no words; a text of fewer than 20 words fails
 the counted rules; equal lines and windows are compared by their bytes; without
 trusted documents the ratio is 0 and says nothing; an id with several labels is
 trusted if one is positive; a null id is never trusted; repeated rows give
-repeated results and count each time; an empty table gives an empty table.
+repeated results and count each time; texts may be of any length and are read
+whole; a score at the threshold is kept; an empty table gives an empty table;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
