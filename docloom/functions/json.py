@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_DEPTH, MAX_VISITS = 100, 10_000
@@ -130,3 +130,44 @@ def column(func: Callable[[str], str | None]) -> Callable[[Column], Column]:
 def canonical_column(c: Column) -> Column:
     """Canonical text of a JSON column; null for text that is not strict JSON."""
     return column(lambda t: canonical(decode(t)))(c)
+
+
+def schema_error_column(c: Column) -> Column:
+    """Why a schema's text is refused; "not_strict" for text that is not strict JSON, null for a schema that may be used."""
+
+    def judge(text: str) -> str | None:
+        try:
+            return schema_error(decode(text))
+        except (ValueError, RecursionError):
+            return "not_strict"
+
+    return column(judge)(c)
+
+
+def _rows(df: DataFrame, key: str, text: str, schema: str, func: Callable[[Any], list[tuple]]) -> DataFrame:
+    """(key, ...) rows of func over strict JSON texts; other texts give none."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64() if x.endswith(" long") else pa.string() for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, t in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = func(decode(t)) if t is not None else []
+                except (ValueError, RecursionError):
+                    found = []
+                if found:
+                    cols = [pa.array(c, kind) for c, kind in zip(zip(*found, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(found), batch.schema.field(0).type), *cols], names=[key, *names])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, {schema}")
+
+
+def leaf_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pointer, value): the leaves of each JSON text with their canonical values."""
+    return _rows(df, key, text, "pointer string, value string", lambda v: [(p, canonical(lookup(v, p))) for p in sorted(leaves(v))])
+
+
+def target_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, place, pointer): the declared properties of each schema in order."""
+    return _rows(df, key, text, "place long, pointer string", lambda v: list(enumerate(targets(v))))

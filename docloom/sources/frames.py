@@ -22,9 +22,9 @@ def json_frames(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(F.json_object_keys("value").isNotNull() & F.col("f").isNotNull()).select("f.*")
 
 
-def words(spark: SparkSession, path: str) -> DataFrame:
+def words(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """Recognized words of TSV files: text as it stands, boxes as numbers; blank words and empty boxes are left out."""
-    rows = spark.read.csv(path, sep="\t", header=True, schema=TSV, quote="", escape="")
+    rows = spark.read.csv(path, sep="\t", header=header, schema=TSV, quote="", escape="")
     box = [F.col(c).try_cast("int").alias(c) for c in ("left", "top", "width", "height")]
     kept = rows.select(*(F.col(c).try_cast("int").alias(c) for c in ("page_num", "line_num", "word_num")), *box, F.col("conf").try_cast("double").alias("conf"), "text")
     return kept.where((F.trim("text") != "") & (F.col("width") > 0) & (F.col("height") > 0))
@@ -65,6 +65,22 @@ def emf_strings(data: bytes) -> list[tuple[int, str]]:
     return out
 
 
+def strings(files: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, record, text) of the stored strings of metafiles; one that is not whole gives an issue row with record 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, data in zip(batch.column(0), batch.column(1), strict=True):
+                try:
+                    found = emf_strings(data.as_py() or b"")
+                except ValueError as e:
+                    found = [(0, str(e))]
+                made = [pa.array([k.as_py()] * len(found), batch.schema.field(0).type), pa.array([n for n, _ in found], pa.int32()), pa.array([t for _, t in found], pa.string())]
+                yield pa.RecordBatch.from_arrays(made, names=[key, "record", "text"])
+
+    return files.select(key, content).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, record int, text string")
+
+
 def run_adapter(command: list[str], request: dict, timeout: float = TIMEOUT) -> dict:
     """One request on the input of a program, one line of JSON from its output; bounded in time and bytes, bare environment."""
     with tempfile.TemporaryFile() as out, tempfile.TemporaryFile() as err:

@@ -20,8 +20,11 @@ class HwpError(ValueError):
     pass
 
 
-def streams(data: bytes) -> dict[str, bytes]:
-    """Path to bytes of the streams of a compound file; chains are bounded by the file's size."""
+def streams(data: bytes, oversized: list[str] | None = None) -> dict[str, bytes]:
+    """Path to bytes of the streams of a compound file; chains are bounded by the file's size.
+
+    A stream beyond MAX_STREAM is not read; its path goes to oversized.
+    """
     if data[:8] != MAGIC:
         raise HwpError("not_a_compound_file")
     shift, mini_shift = struct.unpack_from("<HH", data, 30)
@@ -66,6 +69,7 @@ def streams(data: bytes) -> dict[str, bytes]:
     small = 1 << mini_shift
     out: dict[str, bytes] = {}
     todo, visited = [(entries[0][4], "")] if entries else [], set()
+    oversized = [] if oversized is None else oversized
     while todo:
         i, prefix = todo.pop()
         if i >= len(entries) or i in visited:
@@ -75,7 +79,9 @@ def streams(data: bytes) -> dict[str, bytes]:
         todo += [(left, prefix), (right, prefix)]
         if kind == 1:
             todo.append((child, f"{prefix}{name}/"))
-        elif kind == 2 and total <= MAX_STREAM:
+        elif kind == 2 and total > MAX_STREAM:
+            oversized.append(prefix + name)
+        elif kind == 2:
             body = chain(start, mini_fat, lambda s: mini[s * small : (s + 1) * small], len(mini_fat) + 1) if total < cutoff else chain(start, fat, sector, limit)
             out[prefix + name] = body[:total]
     return out
@@ -133,7 +139,8 @@ def paragraph_text(data: bytes) -> tuple[str, int]:
 
 
 def hwp(data: bytes) -> Iterator[dict]:
-    parts = streams(data)
+    oversized: list[str] = []
+    parts = streams(data, oversized)
     header = parts.get("FileHeader", b"")
     flags = struct.unpack_from("<I", header, 36)[0] if len(header) >= 40 else 0
     if flags & 2:
@@ -146,3 +153,5 @@ def hwp(data: bytes) -> Iterator[dict]:
                 content = paragraph_text(raw)[0].strip()
                 if content:
                     yield {"unit_type": "section_paragraph", "content": content, "section": name, "level": level}
+    for name in sorted(oversized):
+        yield {"unit_type": "issue", "content": "stream_limit", "section": name}

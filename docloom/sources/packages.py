@@ -9,6 +9,7 @@ hostile file becomes an issue row and never fails a task.
 from __future__ import annotations
 
 import io
+import itertools
 import posixpath
 import re
 import struct
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docloom.sources import hwp
+from docloom.sources import numbering as N
 
 MAX_MEMBERS, MAX_BYTES, MAX_PART = 10_000, 512 << 20, 128 << 20
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -91,12 +93,50 @@ def _run_text(p: ET.Element) -> str:
     return "".join(out)
 
 
+def _word_lists(archive: zipfile.ZipFile, main: str) -> dict[str, tuple[str, dict[int, N.Level]]]:
+    """numId to its abstract definition and that one's levels; a number with overrides of its own has no levels."""
+    name = posixpath.join(posixpath.dirname(main), "numbering.xml")
+    if name not in archive.namelist():
+        return {}
+    root, found, shapes = part(archive, name), {}, {}
+    for abstract in (x for x in root if local(x) == "abstractNum"):
+        levels = {}
+        for lvl in (x for x in abstract if local(x) == "lvl"):
+            own = {local(x): attr(x, "val") for x in lvl}
+            supported = "isLgl" not in own and own.get("lvlRestart") in (None, "0")
+            # A start that is left out is zero.
+            levels[int(attr(lvl, "ilvl") or 0) + 1] = N.Level(N.number(own.get("start"), 0), N.WORD.get(own.get("numFmt") or "") if supported else None, own.get("lvlText"), own.get("lvlRestart") != "0")
+        shapes[attr(abstract, "abstractNumId")] = {} if any(local(x) in ("numStyleLink", "styleLink") for x in abstract) else levels
+    for num in (x for x in root if local(x) == "num"):
+        of = next((attr(x, "val") for x in num if local(x) == "abstractNumId"), None)
+        found[attr(num, "numId")] = (of, {} if any(local(x) == "lvlOverride" for x in num) else shapes.get(of, {}))
+    return found
+
+
+def _label_word_lists(events: list[tuple[dict, str | None, int, bool]], lists: dict[str, tuple[str, dict[int, N.Level]]]) -> None:
+    """Labels for lists whose whole sequence is certain: one number for its definition, and all of it in the body."""
+    groups: dict[str | None, list[tuple[dict, str | None, int, bool]]] = {}
+    for event in events:
+        groups.setdefault(lists.get(event[1], (event[1], {}))[0], []).append(event)
+    for group in groups.values():
+        if len({n for _, n, _, _ in group}) == 1 and all(body for *_, body in group) and group[0][1] in lists:
+            for (unit, *_), label in zip(group, N.labels(((level, None) for _, _, level, _ in group), lists[group[0][1]][1], "%"), strict=True):
+                unit["label"] = label
+
+
 def docx(data: bytes) -> Iterator[dict]:
     archive = open_package(data)
     main = next((n for n in archive.namelist() if n.endswith("word/document.xml")), None)
     if main is None:
         raise PackageError("part_missing")
     tables = 0
+    events: list[tuple[dict, str | None, int, bool]] = []
+
+    def listed(p: ET.Element, unit: dict, body: bool) -> None:
+        properties = next((x for x in p.iter() if local(x) == "numPr"), None)
+        if properties is not None:
+            own = {local(x): attr(x, "val") for x in properties}
+            events.append((unit, own.get("numId"), (N.number(own.get("ilvl"), 0) or 0) + 1, body))
 
     def table(node: ET.Element, section: str) -> Iterator[dict]:
         nonlocal tables
@@ -120,6 +160,8 @@ def docx(data: bytes) -> Iterator[dict]:
                     content = "\n".join(_run_text(p) for p in cell.iter() if local(p) == "p").strip()
                     unit = _unit("table_cell", content, section=section, table=at, row=r, col=c, row_span=1, col_span=span)
                     cells.append(unit)
+                    for p in (x for x in cell.iter() if local(x) == "p"):
+                        listed(p, {}, False)
                     open_merges.pop(c, None)
                     if merge is not None:
                         open_merges[c] = unit
@@ -136,8 +178,10 @@ def docx(data: bytes) -> Iterator[dict]:
                 heading = re.fullmatch(r"(?i)heading ?([1-9])", style)
                 content = _run_text(node).strip()
                 if content:
-                    listed = any(local(x) == "numPr" for x in node.iter())
-                    yield _unit("heading" if heading else "list_item" if listed else "paragraph", content, section=section, level=int(heading[1]) if heading else None)
+                    item = any(local(x) == "numPr" for x in node.iter())
+                    unit = _unit("heading" if heading else "list_item" if item else "paragraph", content, section=section, level=int(heading[1]) if heading else None)
+                    listed(node, unit, section == "body")
+                    yield unit
             elif name in ("sdt", "sdtContent", "body", "ins"):
                 yield from walk(node, section)
 
@@ -150,6 +194,31 @@ def docx(data: bytes) -> Iterator[dict]:
             for p in part(archive, target).iter():
                 if local(p) == "p" and (content := _run_text(p).strip()):
                     yield _unit(name, content, section=posixpath.basename(target))
+    _label_word_lists(events, _word_lists(archive, main))
+
+
+def _slide_labels(body: ET.Element) -> dict[int, str | None]:
+    """Labels of the automatically numbered paragraphs of one text body, by place; certain up to the first that inherits its bullet."""
+    if any(local(x) == "buAutoNum" for style in body if local(style) == "lstStyle" for x in style.iter()):
+        return {}
+    events: list[tuple[int, int, str | None, str | None]] = []
+    for place, p in enumerate(body):
+        if local(p) == "p":
+            own = {local(x): x for x in next((x for x in p if local(x) == "pPr"), ())}
+            if (auto := own.get("buAutoNum")) is not None:
+                level = next(x for x in p if local(x) == "pPr").get("lvl")
+                events.append((place, (N.number(level, 0) or 0) + 1, auto.get("type"), auto.get("startAt")))
+            elif not own.keys() & {"buNone", "buChar"}:
+                break
+    schemes: dict[int, set[str | None]] = {}
+    for _, level, scheme, _ in events:
+        schemes.setdefault(level, set()).add(scheme)
+    levels = {}
+    for level, found in schemes.items():
+        style, shape = N.SLIDES.get(next(iter(found)) or "", (None, "")) if len(found) == 1 else (None, "")
+        levels[level] = N.Level(1, style, shape.replace("{}", f"%{level}") or None)
+    made = N.labels(((level, N.number(start, None)) for _, level, _, start in events), levels, "%")
+    return {place: label for (place, *_), label in zip(events, made, strict=True)}
 
 
 def pptx(data: bytes) -> Iterator[dict]:
@@ -170,9 +239,13 @@ def pptx(data: bytes) -> Iterator[dict]:
                         if cell.get("hMerge") or cell.get("vMerge"):
                             continue
                         yield _unit("table_cell", "\n".join(_run_text(p) for p in cell.iter() if local(p) == "p").strip(), section=str(n), row=r, col=c, row_span=int(cell.get("rowSpan", 1)), col_span=int(cell.get("gridSpan", 1)))
+        made: dict[int, str | None] = {}
+        for body in root.iter():
+            if local(body) == "txBody" and id(body) not in inside:
+                made |= {id(body[place]): label for place, label in _slide_labels(body).items()}
         for node in root.iter():
             if local(node) == "p" and id(node) not in inside and (content := _run_text(node).strip()):
-                yield _unit("slide_text", content, section=str(n))
+                yield _unit("slide_text", content, section=str(n), label=made.get(id(node)))
         for target in relations(archive, name).values():
             if "notesSlide" in target and target in archive.namelist():
                 for p in part(archive, target).iter():
@@ -237,6 +310,15 @@ def hwpx(data: bytes) -> Iterator[dict]:
     if not names:
         raise PackageError("part_missing")
     table = 0
+    shapes, definitions = _hancom_lists(archive)
+    events: dict[str, list[tuple[dict | None, int]]] = {}
+
+    def listed(p: ET.Element, unit: dict | None) -> str:
+        """Notes an item of a numbered list; one without a unit stands outside the body's flow."""
+        kind, of, level = shapes.get(p.get("paraPrIDRef"), (None, None, 0))
+        if kind == "NUMBER":
+            events.setdefault(of, []).append((unit, level))
+        return "paragraph" if kind in (None, "NONE", "OUTLINE") else "list_item"
 
     def walk(node: ET.Element, section: str) -> Iterator[dict]:
         nonlocal table
@@ -248,12 +330,16 @@ def hwpx(data: bytes) -> Iterator[dict]:
                     where = {local(x): x for x in cell}
                     address, span = where.get("cellAddr"), where.get("cellSpan")
                     content = "\n".join(_run_text(p) for p in cell.iter() if local(p) == "p")
+                    for p in (x for x in cell.iter() if local(x) == "p"):
+                        listed(p, None)
                     number = lambda x, k, d: int(x.get(k, d)) if x is not None else d
                     yield _unit("table_cell", content, section=section, table=at, row=number(address, "rowAddr", 0), col=number(address, "colAddr", 0), row_span=number(span, "rowSpan", 1), col_span=number(span, "colSpan", 1))
             elif name == "p":
                 own = "".join("".join(t.itertext()) for run in e if local(run) == "run" for t in run if local(t) == "t").strip()
                 if own:
-                    yield _unit("paragraph", own, section=section)
+                    unit = _unit("paragraph", own, section=section)
+                    unit["unit_type"] = listed(e, unit)
+                    yield unit
                 for run in e:
                     yield from walk(run, section)
             elif name in ("footNote", "endNote"):
@@ -265,12 +351,39 @@ def hwpx(data: bytes) -> Iterator[dict]:
 
     for n in names:
         yield from walk(part(archive, n), n)
+    for of, items in events.items():
+        # What follows an item outside the flow is not certain.
+        certain = [x for x in itertools.takewhile(lambda x: x[0] is not None, items)]
+        for (unit, _), label in zip(certain, N.labels(((level, None) for _, level in certain), definitions.get(of, {}), "^"), strict=True):
+            unit["label"] = label
+
+
+def _hancom_lists(archive: zipfile.ZipFile) -> tuple[dict[str | None, tuple[str | None, str | None, int]], dict[str | None, dict[int, N.Level]]]:
+    """Paragraph shapes (id to kind, list and level) and the lists' levels, of the header."""
+    if "Contents/header.xml" not in archive.namelist():
+        return {}, {}
+    shapes, lists = {}, {}
+    for e in part(archive, "Contents/header.xml").iter():
+        if local(e) == "paraPr":
+            head = next((x for x in e if local(x) == "heading"), None)
+            if head is not None:
+                shapes[e.get("id")] = (head.get("type", "NONE"), head.get("idRef"), (N.number(head.get("level"), 0) or 0) + 1)
+        elif local(e) == "numbering":
+            whole = e.get("start")
+            levels = {}
+            for head in (x for x in e if local(x) == "paraHead"):
+                level = N.number(head.get("level"), 1) or 1
+                # The list's own start holds for its first level, and for all levels if it is one.
+                start = head.get("start") or (whole if whole == "1" or level == 1 else None)
+                levels[level] = N.Level(N.number(start, None), N.HANCOM.get(head.get("numFormat", "")), (head.text or "").strip() or None)
+            lists[e.get("id")] = levels
+    return shapes, lists
 
 
 READERS = {"docx": docx, "pptx": pptx, "xlsx": xlsx, "hwpx": hwpx, "hwp5": hwp.hwp}
 
-_FIELDS = [("unit_type", pa.string()), ("content", pa.string()), ("section", pa.string()), ("table", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("row_span", pa.int32()), ("col_span", pa.int32()), ("level", pa.int32()), ("kind", pa.string()), ("raw", pa.string()), ("formula", pa.string())]
-SCHEMA = "ordinal int, unit_type string, content string, section string, table int, row int, col int, row_span int, col_span int, level int, kind string, raw string, formula string"
+_FIELDS = [("unit_type", pa.string()), ("content", pa.string()), ("section", pa.string()), ("table", pa.int32()), ("row", pa.int32()), ("col", pa.int32()), ("row_span", pa.int32()), ("col_span", pa.int32()), ("level", pa.int32()), ("kind", pa.string()), ("raw", pa.string()), ("formula", pa.string()), ("label", pa.string())]
+SCHEMA = "ordinal int, unit_type string, content string, section string, table int, row int, col int, row_span int, col_span int, level int, kind string, raw string, formula string, label string"
 
 
 def read_units(data: bytes, adapter: str) -> list[dict]:
