@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions import text as X
 
 GRAM = 8
-BARE_QUOTES = 1000
+#: Quotes that are searched for in every text at once.
+BLOCK_QUOTES = 1000
 
 
 def _with_grams(df: DataFrame, words: str, out: str) -> DataFrame:
@@ -27,8 +28,8 @@ def resolve_quotes(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", text
     """(key, quote_key, n, start): exact occurrences of each quote, overlapping ones counted, start of the first from 0.
 
     Texts and quotes meet on a hash of the quote's first GRAM whole words, so only texts that hold these are searched.
-    Quotes with fewer whole words meet texts on the longest of these; quotes with none, at most BARE_QUOTES of them,
-    are searched for in every text.
+    Quotes with fewer whole words meet texts on the longest of these; quotes with none are searched for in every text,
+    in blocks of about BLOCK_QUOTES.
     """
     q = quotes.select(quote_key, F.col(quote).alias("__q")).where(F.length("__q") > 0)
     # The first and the last word of a quote may be cut; those between stand whole in a text that holds it.
@@ -47,11 +48,10 @@ def resolve_quotes(docs: DataFrame, quotes: DataFrame, key: str = "doc_id", text
         single = d.select(key, F.explode(F.array_distinct(F.split("__t", r"\s+"))).alias("__one"))
         found = found.unionByName(single.join(few, "__one").select(key, quote_key, "__q"))
     pairs = found.join(d, key)
-    n_bare = none.count()
-    if n_bare > BARE_QUOTES:
-        raise ValueError(f"{n_bare} quotes have no whole word to meet texts on; at most {BARE_QUOTES} can be searched for in all")
-    if n_bare:
-        pairs = pairs.unionByName(d.join(F.broadcast(none), F.contains(F.col("__t"), F.col("__q"))).select(*pairs.columns))
+    blocks = -(-none.count() // BLOCK_QUOTES)
+    for block in range(blocks):
+        own = none.where(F.pmod(F.xxhash64(quote_key, "__q"), F.lit(blocks)) == block)
+        pairs = pairs.unionByName(d.join(F.broadcast(own), F.contains(F.col("__t"), F.col("__q"))).select(*pairs.columns))
     hits = pairs.where(F.contains("__t", F.col("__q")))
     return hits.select(key, quote_key, X.occurrences(F.col("__t"), F.col("__q")).alias("n"), (F.instr("__t", F.col("__q")) - 1).alias("start"))
 

@@ -1,7 +1,7 @@
 """Folds whose next step depends on the last: packing under a budget, admission that skips, windows of text.
 
 Each runs per document as one sequential scan of its rows in order; a document is the unit of work here, as
-the result of a row depends on all before it.
+the result of a row depends on all before it.  List counters need no fold: they count within windows.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,5 +85,13 @@ def admit(df: DataFrame, group: str, order: list[str], size: str, budget: int, m
 
 
 def count_lists(df: DataFrame, group: str, order: list[str], level: str, starts: dict[int, int]) -> DataFrame:
-    """df with counter, by the list levels of each group in order."""
-    return _fold(df, group, order, "counter", pa.int32(), T.IntegerType(), lambda t: list_counters(((x, None) for x in t[level].to_pylist()), starts))
+    """df with counter, by the list levels of each group in order; the counter of a level restarts behind each shallower one."""
+    counter = F.lit(None).cast("int")
+    upto = Window.rowsBetween(Window.unboundedPreceding, 0)
+    for at, start in starts.items():
+        # Counters of a level belong to one run: what stands between two shallower events.
+        run = f"__run_{at}"
+        df = df.withColumn(run, F.sum((F.col(level) < at).cast("int")).over(upto.partitionBy(group).orderBy(*order)))
+        own = F.sum((F.col(level) == at).cast("int")).over(upto.partitionBy(group, run).orderBy(*order))
+        counter = F.when(F.col(level) == at, (own + (start - 1)).cast("int")).otherwise(counter)
+    return df.withColumn("counter", counter).drop(*(f"__run_{at}" for at in starts))
