@@ -31,8 +31,15 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def transitive_reduction(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """The edges that no path of two edges implies."""
-    e = edges.select(a, b).distinct()
-    x, y = e.toDF("x", "m"), e.toDF("m", "y")
-    implied = x.join(y, "m").select(F.col("x").alias(a), F.col("y").alias(b)).distinct()
-    return e.join(implied, [a, b], "left_anti")
+    """The edges that no path of two edges implies.
+
+    For each edge the way round is looked for among the edges that leave its start or those that enter its end,
+    whichever are fewer, so that a node of many edges both ways does not multiply them.
+    """
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
+    leaving, entering = e.groupBy("a").agg(F.count("*").alias("out")), e.groupBy("b").agg(F.count("*").alias("into"))
+    sized = e.join(leaving, "a").join(entering, "b")
+    by_start = sized.where("out <= into").select("a", "b").join(e.toDF("a", "m"), "a").join(e.toDF("m", "b"), ["m", "b"], "left_semi")
+    by_end = sized.where("out > into").select("a", "b").join(e.toDF("m", "b"), "b").join(e.toDF("a", "m"), ["a", "m"], "left_semi")
+    implied = by_start.select("a", "b").unionByName(by_end.select("a", "b")).distinct()
+    return e.join(implied, ["a", "b"], "left_anti").toDF(a, b)

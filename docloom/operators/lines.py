@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as X
+from docloom.operators.blocks import running_sum
 
 #: Code points of a unit beyond which it is cut into numbered chunks.
 CHUNK = 50_000
@@ -38,29 +39,43 @@ def chunked(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
 
 def continued(df: DataFrame, identity: list[str], chunk: str, order: list[str], partition: list[str]) -> Column:
-    """Whether a row's chunk follows the chunk of the row before, which is otherwise the same unit."""
-    w = Window.partitionBy(*partition).orderBy(*order)
+    """Whether a row's chunk follows the chunk of the row before, which is otherwise the same unit.
+
+    Where the order begins with columns of the identity, rows of one unit stand together, so that a unit is a group of
+    its own and no window holds a whole partition.
+    """
+    together = []
+    for c in order:
+        if c not in identity:
+            break
+        together.append(c)
+    w = Window.partitionBy(*partition, *together).orderBy(*order)
     same = F.lag(chunk).over(w) + 1 == F.col(chunk)
     for c in identity:
-        same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
+        if c not in together:
+            same = same & F.lag(c).over(w).eqNullSafe(F.col(c))
     return F.coalesce(same, F.lit(False))
 
 
 def bounded_text(df: DataFrame, group: str, order: list[str], text: str, limit: int, separator: str = "\n\n") -> DataFrame:
     """(group, content, truncated): texts joined in order up to limit code points, cut inside the last one.
 
-    A running length finds the rows that count before any text is gathered, so a group never holds more than limit.
+    A running length, taken in blocks, finds the rows that count before any text is gathered, so a group never holds
+    more than limit; of a text only its first limit code points travel.  Null texts are empty.
     """
-    w = Window.partitionBy(group).orderBy(*order)
-    gap = F.when(F.row_number().over(w) > 1, len(separator)).otherwise(0)
-    rows = df.select(group, *order, F.col(text).alias("__t")).withColumn("__gap", gap)
-    rows = rows.withColumn("__end", F.sum(F.length("__t") + F.col("__gap")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.col("__end") - F.length("__t") - F.col("__gap")
+    gap = len(separator)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # Every text is preceded by a separator here, the first one too: its place is what the sums begin below.
+    rows = df.select(group, *order, F.left(whole, F.lit(limit)).alias("__t"), (F.length(whole) + gap).alias("__n"))
+    rows = running_sum(rows, [group], order, F.col("__n"), "__sum").withColumn("__end", F.col("__sum") - gap)
+    start = F.col("__end") - F.col("__n")
     full = rows.groupBy(group).agg((F.max("__end") > limit).alias("truncated"))
-    piece = F.substring(F.concat(F.when(F.col("__gap") > 0, separator).otherwise(""), F.col("__t")), F.lit(1), (limit - start).cast("int"))
+    joint = F.when(start >= 0, separator).otherwise("")
+    piece = F.substring(F.concat(joint, F.col("__t")), F.lit(1), (limit - F.greatest(start, F.lit(0))).cast("int"))
     kept = rows.where(start < limit).select(group, F.struct(*order, piece.alias("piece")).alias("p"))
     joined = kept.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["piece"]), "").alias("content"))
-    return joined.join(full, group)
+    other = full.withColumnRenamed(group, "__g")
+    return joined.join(other, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def pages(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
@@ -73,9 +88,8 @@ def top_rows(df: DataFrame, group: list[str], order: list[str | Column], n: int)
 
 
 def budget_prefix(df: DataFrame, group: list[str], order: list[str], cost: Column, budget: int) -> DataFrame:
-    """Rows in order while their running cost stays within the budget; the first overflow ends a group."""
-    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("__sum", F.sum(cost).over(w)).where(F.col("__sum") <= budget).drop("__sum")
+    """Rows in order while their running cost, summed in blocks, stays within the budget; costs are not negative."""
+    return running_sum(df, group, order, cost, "__sum").where(F.col("__sum") <= budget).drop("__sum")
 
 
 def runs(df: DataFrame, group: str, order: str, key: str, content: str, separator: str = " ") -> DataFrame:

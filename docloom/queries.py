@@ -735,12 +735,24 @@ def unit_page(spark, d):
     return lines.pages(docs(spark, d).select("doc_id", "source"), ["doc_id"], 50, 100)
 
 
-@query()
+_IN_ORDER = "(SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)"
+
+
+@query(
+    f"""WITH RECURSIVE o AS {_IN_ORDER}, r AS (SELECT source, doc_id, n_chars, k, n_chars AS used, CAST(0 AS BIGINT) AS bin FROM o WHERE k = 1
+UNION ALL SELECT o.source, o.doc_id, o.n_chars, o.k, CASE WHEN r.used + o.n_chars > 16000 THEN o.n_chars ELSE r.used + o.n_chars END, r.bin + CASE WHEN r.used + o.n_chars > 16000 THEN 1 ELSE 0 END FROM r JOIN o ON o.source = r.source AND o.k = r.k + 1)
+SELECT source, doc_id, n_chars, bin FROM r"""
+)
 def greedy_regions(spark, d):
     return packing.pack(docs(spark, d).select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 16000)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE o AS {_IN_ORDER}, r AS (SELECT source, doc_id, n_chars, k, n_chars <= 16000 AS taken, CASE WHEN n_chars <= 16000 THEN n_chars ELSE 0 END AS used, CASE WHEN n_chars <= 16000 THEN 1 ELSE 0 END AS n FROM o WHERE k = 1
+UNION ALL SELECT source, doc_id, n_chars, k, fits, used + CASE WHEN fits THEN n_chars ELSE 0 END, n + CASE WHEN fits THEN 1 ELSE 0 END
+  FROM (SELECT o.source, o.doc_id, o.n_chars, o.k, r.n < 12 AND r.used + o.n_chars <= 16000 AS fits, r.used, r.n FROM r JOIN o ON o.source = r.source AND o.k = r.k + 1))
+SELECT source, doc_id, n_chars, taken FROM r"""
+)
 def inventory_admission(spark, d):
     return packing.admit(docs(spark, d).select("source", "doc_id", "n_chars"), "source", ["doc_id"], "n_chars", 16000, 12)
 
@@ -772,7 +784,16 @@ def job_events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("job_id"), F.expr(_EVENT).alias("event"))
 
 
-@query()
+_ALLOWED = "e.event = 'submit' AND r.state = '' OR e.event = 'claim' AND r.state = 'queued' OR e.event IN ('complete', 'fail') AND r.state = 'running'"
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT user_id AS job_id, {_EVENT} AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS k, '' AS state, 0 AS attempts FROM e
+UNION ALL SELECT e.job_id, e.k, CASE WHEN {_ALLOWED} THEN CASE e.event WHEN 'submit' THEN 'queued' WHEN 'claim' THEN 'running' WHEN 'complete' THEN 'complete' ELSE 'failed' END ELSE r.state END,
+  r.attempts + CASE WHEN e.event = 'claim' AND r.state = 'queued' THEN 1 ELSE 0 END FROM r JOIN e ON e.job_id = r.job_id AND e.k = r.k + 1)
+SELECT job_id, arg_max(state, k) AS state, max(attempts) AS attempts FROM r GROUP BY job_id"""
+)
 def job_final_states(spark, d):
     return jobs.final_states(job_events(spark, d))
 

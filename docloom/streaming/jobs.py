@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from docloom.operators.blocks import BLOCK, ordered
+
 # From which states an event moves a job, and where to.
 MOVES = {
     "submit": (("",), "queued"),
@@ -34,12 +36,12 @@ def step(state: str, event: str) -> str:
 def final_states(events: DataFrame, job: str = "job_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """(job, state, attempts): all events of a job folded in order.
 
-    Moves only depend on the state before, so the fold is a running aggregate over ordered events; a job's
-    event codes are gathered (a few bytes each), not its payloads.
+    Moves only depend on the state before, and there are few states.  So each block of events is folded from every
+    state it could begin in, and a job follows its blocks; no task holds all events of a job.
     """
-    coded = events.select(job, F.struct(*order, "event").alias("e"))
-    listed = coded.groupBy(job).agg(F.array_sort(F.collect_list("e")).alias("es"))
-    start = F.struct(F.lit("").alias("state"), F.lit(0).alias("attempts"))
+    states = sorted({"", *(target for _, target in MOVES.values()), *(s for allowed, _ in MOVES.values() for s in allowed)})
+    rows = ordered(events.select(job, *order, "event"), [job, *order])
+    listed = rows.groupBy(job, BLOCK).agg(F.array_sort(F.collect_list(F.struct(*order, "event"))).alias("es"))
 
     def fold(acc, e):
         state = acc["state"]
@@ -49,7 +51,17 @@ def final_states(events: DataFrame, job: str = "job_id", order: tuple[str, ...]
         claimed = (e["event"] == "claim") & (state == "queued")
         return F.struct(new.alias("state"), (acc["attempts"] + F.when(claimed, 1).otherwise(0)).alias("attempts"))
 
-    return listed.select(job, F.aggregate("es", start, fold).alias("s")).select(job, "s.state", "s.attempts")
+    def begin(state: str):
+        return F.struct(F.lit(state).alias("state"), F.lit(0).alias("attempts"))
+
+    leads = F.map_from_arrays(F.array(*map(F.lit, states)), F.array(*(F.aggregate("es", begin(s), fold) for s in states)))
+    blocks = listed.select(job, F.struct(BLOCK, leads.alias("leads")).alias("b")).groupBy(job).agg(F.array_sort(F.collect_list(F.struct(F.col(f"b.{BLOCK}").alias("n"), F.map_entries("b.leads").alias("leads")))).alias("bs"))
+
+    def follow(acc, b):
+        to = F.map_from_entries(b["leads"])[acc["state"]]
+        return F.struct(to["state"].alias("state"), (acc["attempts"] + to["attempts"]).alias("attempts"))
+
+    return blocks.select(job, F.aggregate("bs", begin(""), follow).alias("s")).select(job, "s.state", "s.attempts")
 
 
 def claim_order(jobs: DataFrame, created: str = "created", ident: str = "job_id", status: str = "status") -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from docloom.functions import geometry, lists, literals
 from docloom.functions import text as X
 from docloom.operators import compile as C
-from docloom.operators import graph, grids, intervals, issues, lines, relations
+from docloom.operators import blocks, graph, grids, intervals, issues, lines, relations
 from docloom.plans import packing
+from docloom.streaming import jobs
 
 
 def values(spark, column, rows, schema="x string"):
@@ -175,3 +176,87 @@ def test_records_and_continuations(spark):
 def test_issue_defaults(spark, code, severity, impact, dimension):
     row = spark.createDataFrame([(code, severity)], "c string, s string").select(issues.impact(F.col("c"), F.col("s")), issues.dimension(F.col("c"), F.col("s"))).first()
     assert tuple(row) == (impact, dimension)
+
+
+def hot_groups(rng, n=400):
+    """Rows of a group that holds most of them, of small groups and of a null one, with sizes that are null, nothing or too large."""
+    sizes = [rng.choice([None, 0, 0, 1, 2, 3, 5, 8, 9, 30]) for _ in range(n)]
+    return [(rng.choice(["hot"] * 8 + ["a", "b", None]), i, s) for i, s in enumerate(sizes)]
+
+
+def by_group(rows):
+    out = {}
+    for g, i, s in sorted(rows, key=lambda r: r[1]):
+        out.setdefault(g, []).append((i, s or 0))
+    return out
+
+
+@pytest.mark.parametrize("most", [None, 1, 3])
+def test_packing_in_blocks_equals_one_scan(spark, most):
+    rows = hot_groups(random.Random(5))
+    df = spark.createDataFrame(rows, "g string, i int, s int").repartition(3)
+    got = {r["i"]: r["bin"] for r in packing.pack(df, "g", ["i"], "s", 9, most).collect()}
+    want = {i: b for part in by_group(rows).values() for (i, _), b in zip(part, packing.greedy_bins([s for _, s in part], 9, most), strict=True)}
+    assert got == want
+    assert packing.pack(df.where("i < 0"), "g", ["i"], "s", 9, most).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_lead_where_a_scan_leads(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        sizes = [rng.choice([0, 1, 2, 3, 7, 12]) for _ in range(rng.randint(1, 12))]
+        most = rng.choice([None, 1, 2, 4])
+        used, n = rng.choice([(11, 0), (0, 1), (4, 1), (10, 2), (12, 1)])
+        p = vars(packing.Passage(sizes, 10, most))
+        bins = packing.greedy_bins(sizes, 10, most, used, n, 5)
+        last = bins[-1]
+        here = [s for s, b in zip(sizes, bins, strict=True) if b == last]
+        end = (sum(here) + used * (last == 5), len(here) + n * (last == 5), last)
+        assert packing.leave(p, 10, most, used, n, 5) == end
+
+
+def test_admission_folds_only_what_could_be_taken(spark):
+    rows = hot_groups(random.Random(6)) + [("a", 500, 2), ("a", 500, 2)]
+    df = spark.createDataFrame(rows, "g string, i int, s int").repartition(3)
+    got = sorted((str(r["g"]), r["i"], r["taken"]) for r in packing.admit(df, "g", ["i"], "s", 40, 15).collect())
+    want = sorted((str(g), i, t) for g, part in by_group(rows).items() for (i, _), t in zip(part, packing.admitted([s for _, s in part], 40, 15), strict=True))
+    assert got == want
+
+
+def test_running_sums_pass_from_block_to_block(spark):
+    rows = hot_groups(random.Random(7))
+    df = spark.createDataFrame(rows, "g string, i int, s int").repartition(3)
+    got = {r["i"]: r["n"] for r in blocks.running_sum(df, ["g"], ["i"], F.col("s"), "n").collect()}
+    want = {i: sum(x for _, x in part[: k + 1]) for part in by_group(rows).values() for k, (i, _) in enumerate(part)}
+    assert got == want
+
+
+def test_jobs_follow_their_blocks(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([1] * 6 + [2, 3, None]), i // 2, i, rng.choice([*jobs.MOVES, "heartbeat", None])) for i in range(600)]
+    want = {}
+    for j, _, _, e in rows:
+        state, n = want.get(j, ("", 0))
+        new = jobs.step(state, e)
+        want[j] = (new, n + (e == "claim" and state == "queued"))
+    df = spark.createDataFrame(rows, "job_id int, ts int, event_id int, event string").repartition(4)
+    assert {r["job_id"]: (r["state"], r["attempts"]) for r in jobs.final_states(df).collect()} == want
+
+
+def test_text_of_a_hot_group(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 5 + ["a", None]), i, rng.choice([None, "", "x", "yy", "zzz" * 9])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, i int, t string").repartition(3)
+    got = {r["g"]: (r["content"], r["truncated"]) for r in lines.bounded_text(df, "g", ["i"], "t", 50).collect()}
+    for g in ("hot", "a", None):
+        whole = "\n\n".join(t or "" for h, _, t in rows if h == g)
+        assert got[g] == (whole[:50], len(whole) > 50)
+
+
+def test_reduction_with_a_hub(spark):
+    rng = random.Random(10)
+    edges = {(a, 0) for a in range(-40, 0)} | {(0, b) for b in range(1, 41)} | {(rng.randint(-40, 0), rng.randint(1, 40)) for _ in range(200)}
+    df = spark.createDataFrame(sorted(edges) + [(None, 3), (3, None)], "a int, b int")
+    kept = {tuple(r) for r in graph.transitive_reduction(df, "a", "b").collect()}
+    assert kept == {(a, b) for a, b in edges if not any((a, m) in edges and (m, b) in edges for m in range(-40, 41))}
