@@ -47,6 +47,23 @@ def partition(intervals: DataFrame, wholes: DataFrame, key: str, label: str, sta
     return out.select(key, F.col("at").alias(start), F.col("until").alias(end), F.coalesce("labels", F.array().cast(over.schema["labels"].dataType)).alias("labels"))
 
 
+def depth(intervals: DataFrame, wholes: DataFrame, key: str, label: str, start: str = "start", end: str = "end") -> DataFrame:
+    """(key, start, end, n_labels): the pieces of partition() with how many labels lie over each, by a sweep.
+
+    Intervals of a label are first made one where they meet; then each begins and ends once, so that what nests is
+    never multiplied by the pieces it covers.
+    """
+    edges = lambda df, at, step: df.select(key, F.col(at).alias("at"), F.lit(step).alias("step"))
+    runs = union(intervals, [key, label], start, end)
+    every = edges(runs, start, 1).unionByName(edges(runs, end, -1))
+    every = every.unionByName(edges(intervals, start, 0)).unionByName(edges(intervals, end, 0))
+    every = every.unionByName(wholes.select(key, F.explode(F.array(F.lit(0).cast("long"), F.col("size").cast("long"))).alias("at"), F.lit(0).alias("step")))
+    points = every.groupBy(key, "at").agg(F.sum("step").alias("step"))
+    w = Window.partitionBy(key).orderBy("at")
+    open_ = F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return points.select(key, F.col("at").alias(start), F.lead("at").over(w).alias(end), open_.alias("n_labels")).where(F.col(end).isNotNull())
+
+
 def contained(inner: DataFrame, outer: DataFrame, key: str, start: str = "start", end: str = "end") -> DataFrame:
     """The inner intervals that lie in one of the runs of the outer ones."""
     runs = union(outer, [key], start, end).select(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e"))

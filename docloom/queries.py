@@ -580,11 +580,22 @@ g AS (SELECT k, v AS lo, lead(v) OVER (PARTITION BY k ORDER BY v) AS hi FROM p)
 SELECT g.k, g.lo, g.hi, count(DISTINCT x.s) AS n_labels FROM g LEFT JOIN {_SPANS} x ON x.k = g.k AND x.s <= g.lo AND x.e >= g.hi WHERE g.hi IS NOT NULL GROUP BY 1, 2, 3"""
 )
 def interval_partition(spark, d):
+    rows = spans(spark, d)
+    wholes = rows.select("k").distinct().withColumn("size", F.lit(5000))
+    return intervals.depth(rows.withColumn("label", F.col("start")), wholes, "k", "label").toDF("k", "lo", "hi", "n_labels")
+
+
+@query(
+    f"""WITH p AS (SELECT k, s AS v FROM {_SPANS} UNION SELECT k, e FROM {_SPANS} UNION SELECT DISTINCT k, 0 FROM {_SPANS} UNION SELECT DISTINCT k, 5000 FROM {_SPANS}),
+g AS (SELECT k, v AS lo, lead(v) OVER (PARTITION BY k ORDER BY v) AS hi FROM p)
+SELECT g.k, g.lo, g.hi, string_agg(DISTINCT x.s, ',' ORDER BY x.s) AS labels FROM g JOIN {_SPANS} x ON x.k = g.k AND x.s <= g.lo AND x.e >= g.hi WHERE g.hi IS NOT NULL GROUP BY 1, 2, 3"""
+)
+def interval_labels(spark, d):
     rows = spans(spark, d)
     wholes = rows.select("k").distinct().withColumn("size", F.lit(5000))
     rows = rows.withColumn("label", F.col("start"))
     cut = intervals.partition(rows.select("k", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label"), wholes, "k", "label")
-    return cut.select("k", F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi"), F.size("labels").cast("long").alias("n_labels"))
+    return cut.where("size(labels) > 0").select("k", F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi"), F.array_join(F.transform("labels", lambda x: x.cast("string")), ",").alias("labels"))
 
 
 @query("SELECT l_suppkey, min(l_partkey) AS first, max(l_partkey) AS last FROM (SELECT l_suppkey, l_partkey, l_partkey - row_number() OVER (PARTITION BY l_suppkey ORDER BY l_partkey) AS g FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem)) GROUP BY l_suppkey, g")
