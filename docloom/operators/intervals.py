@@ -53,11 +53,11 @@ def depth(intervals: DataFrame, wholes: DataFrame, key: str, label: str, start:
     Intervals of a label are first made one where they meet; then each begins and ends once, so that what nests is
     never multiplied by the pieces it covers.
     """
-    edges = lambda df, at, step: df.select(key, F.col(at).alias("at"), F.lit(step).alias("step"))
-    runs = union(intervals, [key, label], start, end)
-    every = edges(runs, start, 1).unionByName(edges(runs, end, -1))
-    every = every.unionByName(edges(intervals, start, 0)).unionByName(edges(intervals, end, 0))
-    every = every.unionByName(wholes.select(key, F.explode(F.array(F.lit(0).cast("long"), F.col("size").cast("long"))).alias("at"), F.lit(0).alias("step")))
+    point = lambda at, step: F.struct(F.col(at).cast("long").alias("at"), F.lit(step).alias("step"))
+    runs = union(intervals, [key, label], start, end).select(key, F.inline(F.array(point(start, 1), point(end, -1))))
+    cuts = intervals.select(key, F.inline(F.array(point(start, 0), point(end, 0))))
+    whole = wholes.withColumn("__from", F.lit(0)).select(key, F.inline(F.array(point("__from", 0), point("size", 0))))
+    every = runs.unionByName(cuts).unionByName(whole)
     points = every.groupBy(key, "at").agg(F.sum("step").alias("step"))
     w = Window.partitionBy(key).orderBy("at")
     open_ = F.sum("step").over(w.rowsBetween(Window.unboundedPreceding, 0))
