@@ -369,10 +369,10 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: counts and digest of the base spans, all spans, and the number of added ones."""
+    """Per row: counts and digest of the base spans, all spans, the number of added ones, and whether there is any span."""
 
     def work(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cols: list[list] = [[] for _ in range(7)]
+        cols: list[list] = [[] for _ in range(8)]
         for t in part.column("text").to_pylist():
             base, added = find(t or "")
             for i, k in enumerate(KINDS):
@@ -380,9 +380,10 @@ def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             cols[4].append(hashlib.sha256(listed(base).encode()).hexdigest())
             cols[5].append(listed(base + added))
             cols[6].append(len(added))
-        kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+            cols[7].append(bool(base or added))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "has_pii"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return map_texts(rows, f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long", work).withColumnRenamed("key", key)
+    return map_texts(rows, f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, has_pii boolean", work).withColumnRenamed("key", key)

@@ -130,6 +130,7 @@ def test_pii_rows(spark):
     assert rows[1]["base_sha256"] == rows[2]["base_sha256"] == empty and rows[1]["spans"] == ""
     assert rows[3]["base_sha256"] == rows[4]["base_sha256"]
     assert rows[5]["n_email"] == 0 and rows[5]["spans"].startswith("email:0:14,phone:15:") and rows[5]["n_added"] == 1
+    assert all(r["has_pii"] == (r["spans"] != "") for r in rows.values()) and rows[5]["has_pii"]
     masked = {r["doc_id"]: r["text"] for r in pii.redact(docs(spark, texts)).collect()}
     assert masked[0] == "[EMAIL] and [IP]" and masked[1] is None and masked[5] == "[EMAIL] [PHONE]"
     assert pii.mask("abcdef", [("email", 1, 4), ("ip", 2, 5)]) == "a[EMAIL]f"
