@@ -31,8 +31,11 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
+from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,9 +117,19 @@ def attach_payload(resolved: DataFrame, records: DataFrame, payload: list[str])
     return out.withColumn("headers", merged).drop("__id", "__headers", "__wanted", "__salt", "__zero")
 
 
-def _parse(data: bytes) -> Iterator[dict]:
-    stream = io.BytesIO(data)
-    opened = gzip.GzipFile(fileobj=stream) if data[:2] == b"\x1f\x8b" else stream
+def _open(path: str) -> pa.NativeFile:
+    """The file as a stream, at its place in a shared file system; nothing of it is read ahead of what is asked for."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or scheme == "file":
+        return pafs.LocalFileSystem().open_input_stream("/" + (rest or path).lstrip("/"), compression=None)
+    system, place = pafs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(place, compression=None)
+
+
+def _parse(stream: BinaryIO) -> Iterator[dict]:
+    """The records of one stream; one record is held at a time."""
+    plain = io.BufferedReader(stream)
+    opened = gzip.GzipFile(fileobj=plain) if plain.peek(2)[:2] == b"\x1f\x8b" else plain
     with io.BufferedReader(opened) as f:
         while line := f.readline():
             if not line.startswith(b"WARC/"):
@@ -150,14 +163,18 @@ def _parse(data: bytes) -> Iterator[dict]:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files (plain or gzip, one member a record or in all); a file is read by one task, in batches."""
+    """The records of WARC files (plain or gzip, one member a record or in all).
+
+    Spark lists the files and never loads them; a task opens its files as streams, so that their size has no bound and
+    a task holds a few records at a time.  An empty file has no records.
+    """
     kind = pa.schema([(n, pa.string()) for n in ("record_id", "type", "url", "date", "http_status", "etag", "last_modified", "digest")] + [("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
+            for file in batch.column(0).to_pylist():
                 rows, held = [], 0
-                for row in _parse(data.as_py()):
+                for row in _parse(_open(file)):
                     rows.append(row)
                     held += len(row["body"] or b"")
                     if held > 4 << 20 or len(rows) >= 2000:
@@ -167,5 +184,5 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     schema = "record_id string, type string, url string, date string, http_status string, etag string, last_modified string, digest string, headers map<string,string>, body binary"
-    raw = spark.read.format("binaryFile").load(path).select("content")
+    raw = spark.read.format("binaryFile").load(path).select("path")
     return map_arrow(raw, run, schema).withColumn("ts", F.to_timestamp("date"))

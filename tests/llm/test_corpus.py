@@ -291,6 +291,18 @@ def test_files_are_read(spark, tmp_path):
     assert all(r["body"] is None for r in rows if r["type"] == "revisit")
 
 
+def test_files_are_streamed(spark, tmp_path):
+    """Large bodies, names with spaces and signs, an empty file, a gzip of all records in one member."""
+    body = random.Random(3).randbytes(3 << 20)
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r>\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    (tmp_path / "a b%20#1.warc").write_bytes(record * 4)
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(record * 3, 1))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    rows = warc.read_warc(spark, str(tmp_path))
+    assert "content" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [bytes(r["body"]) == body for r in rows.select("body").collect()] == [True] * 7
+
+
 # --- learned models ---
 
 SYLLABLES = {"xx": ["ba", "bo", "bi"], "yy": ["ku", "ke", "ki"], "zz": ["ño", "ñe", "ñi"]}
