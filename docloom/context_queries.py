@@ -152,3 +152,30 @@ def paragraph_properties(spark, d):
     styles = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("style"), F.col("n_name").alias("style_name"))
     found = C.paragraph_properties(rows, "data", shapes, styles)
     return found.select("p_partkey", F.col("para_shape").cast("long").alias("para_shape"), F.col("style").cast("long").alias("style"), "align", "style_name", "properties_unavailable")
+
+
+@query(
+    """SELECT l_orderkey, l_linenumber, l_returnflag AS text, l_suppkey AS page, CAST(l_partkey AS DOUBLE) AS left_, 'page left' AS place_fields, 'kind' AS input_fields, 4 AS n_fields FROM lineitem"""
+)
+def model_nodes(spark, d):
+    """Lines as nodes with traces in their places and inputs, and a field of their own that is not shown."""
+    box = F.struct(F.col("l_partkey").cast("double").alias("left"), F.lit(1).alias("sourceBox"))
+    place = F.struct(F.col("l_suppkey").alias("page"), box.alias("bbox"), F.lit("x").alias("characters"), F.lit("x").alias("provenance"))
+    nodes = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_returnflag").alias("text"), F.lit("body").alias("semanticRole"), place.alias("sourceStructure"), F.struct(F.lit("k").alias("kind"), F.lit("x").alias("sourceSegments")).alias("semanticInput"), F.lit("x").alias("alignmentTrace")
+    )
+    seen = C.model_nodes(nodes, ["l_orderkey", "l_linenumber"])
+    names = lambda path: seen.select(f"{path}.*").columns
+    places = [c for c in names("sourceStructure") if c != "bbox"] + names("sourceStructure.bbox")
+    return seen.select("l_orderkey", "l_linenumber", "text", F.col("sourceStructure.page").alias("page"), F.col("sourceStructure.bbox.left").alias("left_"), F.lit(" ".join(places)).alias("place_fields"), F.lit(" ".join(names("semanticInput"))).alias("input_fields"), F.lit(len(seen.columns) - 2).alias("n_fields"))
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS description, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END AS n_texts, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS n_ranges, o_orderstatus AS status FROM orders"""
+)
+def statements(spark, d):
+    k = F.col("o_orderkey")
+    span = F.struct(F.lit(0).alias("start"), k.alias("end"))
+    made = C.statement(k, F.col("o_orderstatus"), F.lit("unit"), F.when(k % 2 == 0, F.col("o_orderpriority")), F.array(k), F.when(k % 3 == 0, F.array(F.lit("a"), F.lit("b"))), F.when(k % 5 == 0, F.array(span)))
+    s = table(spark, d, "orders").select("o_orderkey", made.alias("s"))
+    return s.select("o_orderkey", "s.description", F.size("s.sourceText").alias("n_texts"), F.size("s.sourceRanges").alias("n_ranges"), F.col("s.meaningStatus").alias("status"))

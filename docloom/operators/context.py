@@ -181,3 +181,29 @@ def paragraph_properties(df: DataFrame, data: str, shapes: DataFrame, styles: Da
     rows = df.withColumn("para_shape", F.when(whole, byte(8) + byte(9) * 256)).withColumn("style", F.when(whole, byte(10)))
     met = rows.join(shapes.withColumn("__shape", F.lit(True)), "para_shape", "left").join(styles, "style", "left")
     return met.withColumn("properties_unavailable", F.col("__shape").isNull()).drop("__shape")
+
+
+# What a decision may see of a node, and what of its place it may not.
+NODE_FIELDS = "text semantic semanticRole semanticInput sourceStructure observationBasis parentRef normalization sourceSegments recognizedText".split()
+PLACE_TRACES = "characters provenance rectangle tableBBox doclingRef backendCellIndex cellOrdinal recognitionBatch pdfium".split()
+
+
+def model_nodes(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df with its keys and the fields a decision may see; places and inputs, structs, come without traces of recognition."""
+    hidden = {"semanticInput": ["sourceSegments"], "sourceStructure": [*PLACE_TRACES, "bbox.sourceBox"]}
+
+    def shown(name: str) -> Column:
+        parts = df.select(f"{name}.*").schema if name in hidden else None
+        if parts is None:
+            return F.col(name)
+        boxed = "bbox" in parts.names and hasattr(parts["bbox"].dataType, "names")
+        there = [f for f in hidden[name] if f in parts.names or (boxed and f.startswith("bbox."))]
+        return F.col(name).dropFields(*there).alias(name) if there else F.col(name)
+
+    return df.select(*keys, *(shown(c) for c in NODE_FIELDS if c in df.columns))
+
+
+def statement(ident: Column, status: Column, kind: Column, description: Column, refs: Column, texts: Column, ranges: Column) -> Column:
+    """An unresolved statement as a task shows it: no description is an empty one, no texts or ranges are empty lists."""
+    listed = lambda c: F.flatten(F.array_compact(F.array(c)))
+    return F.struct(ident.alias("id"), status.alias("meaningStatus"), kind.alias("kind"), F.coalesce(description, F.lit("")).alias("description"), refs.alias("sourceRefs"), listed(texts).alias("sourceText"), listed(ranges).alias("sourceRanges"))
