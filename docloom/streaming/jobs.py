@@ -75,8 +75,8 @@ def attempts(events: DataFrame, job: str = "job_id") -> DataFrame:
 
 
 def expired(jobs: DataFrame, now, ttl_seconds: int, status: str = "status", updated: str = "updated") -> DataFrame:
-    """Jobs in a final state whose last change is older than the time to live."""
-    return jobs.where(F.col(status).isin(*TERMINAL) & (F.unix_timestamp(F.lit(now)) - F.unix_timestamp(updated) > ttl_seconds))
+    """Jobs in a final state whose last change is older than the time to live, to the microsecond; now is a time or a column."""
+    return jobs.where(F.col(status).isin(*TERMINAL) & (F.col(updated) < F.lit(now) - F.make_dt_interval(secs=F.lit(ttl_seconds))))
 
 
 def idempotency(events: DataFrame, key: str = "key_hash", fingerprint: str = "fingerprint", order: str = "event_id") -> DataFrame:
