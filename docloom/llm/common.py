@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ BATCH_BYTES = 8 << 20
 BROADCAST_ROWS = 2_000_000
 
 
-__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "held_out", "id_crc", "map_arrow", "map_texts", "read", "scratch", "shared_folder", "slices"]
+__all__ = ["BROADCAST_ROWS", "bounded_broadcast", "cut", "discard", "held_out", "id_crc", "map_arrow", "map_texts", "read", "scratch", "settle", "shared_folder", "slices"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,24 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def settle(spark: SparkSession) -> None:
+    """Has the driver let go of what finished plans held, and give the memory back to the system.
+
+    Spark deletes shuffle files and broadcasts only when the driver's garbage is collected, and a driver with room left
+    puts that off: between the rounds of an iterative operator its heap and the executors' disks would fill meanwhile.
+    """
+    gc.collect()  # a plan lives in the JVM as long as Python refers to it
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # not all JVMs have this command
+        # The server's own class is hidden, so the method is taken from its interface.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = gateway.new_array(jvm.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    tidy()
+
+
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, tidying up behind itself."""
 

@@ -54,7 +54,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import BROADCAST_ROWS, cut, discard, map_arrow, map_texts, slices
+from docloom.llm.common import BROADCAST_ROWS, cut, discard, map_arrow, map_texts, settle, slices
 from docloom.llm.components import components
 
 SIZE = 4
@@ -163,6 +163,7 @@ def _signatures(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     blocks = made.where("block is not null").select("block", "counts").repartition(F.col("block"))
     for block, counts in map_arrow(blocks, add, "block int, counts binary").collect():
         table[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(counts), dtype=np.int64)
+    settle(docs.sparkSession)
     return made.where("block is null").select("id", "n", "sig", "parity", "wide"), table
 
 
@@ -336,6 +337,7 @@ def _sifted(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
     pairs = cut(pairs)
+    settle(docs.sparkSession)
     wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
     sets = _sets(docs.join(_bounded(wanted.count(), wanted), "id", "left_semi"), size)
     met = pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b")
@@ -373,6 +375,8 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
     parity = live.select("id", "n", "parity").distinct()
     wide = live.select("id", "n", "wide").distinct()
 
+    settle(df.sparkSession)
+
     links = cut(copies.where("least < most").select(F.col("least").alias("a"), F.col("most").alias("b")).union(member.join(copies.where("least < most"), "id").select(F.col("rep"), F.col("least"))).distinct())
     merged = components(links)
     for last in (False, True):
@@ -399,10 +403,12 @@ def similar_components(df: DataFrame, key: str = "doc_id", text: str = "text", s
             near = _list_pairs(rows, ["token", "salt", "group"], ["id"], percent, _across, ("role",))
             near = _sifted(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), wide, percent).select("a", "b")
         more = _verified(near, own, size, percent)
+        settle(df.sparkSession)
         before = links, merged
         links = cut(links.union(more).distinct())
         merged = components(links)
         discard(placed, more, *before)
+        settle(df.sparkSession)
     discard(lists, links)
     reached = member.join(merged.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.join(reached, "id", "left")
@@ -437,6 +443,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", size: int =
     n_repeated = repeated.count()
     away = cut(gone.union(repeated))
     discard(found)
+    settle(df.sparkSession)
     kept = named.join(_bounded(away.count(), away), rid, "left_anti").select(*df.columns)
     if n_repeated:
         kept = kept.union(named.join(_bounded(n_repeated, repeated), rid, "left_semi").dropDuplicates([rid]).select(*df.columns))

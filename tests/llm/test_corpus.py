@@ -1,10 +1,12 @@
 """Operators over whole corpora, against brute force."""
 
 import collections
+import gc
 import gzip
 import pathlib
 import random
 import re
+import time
 import zlib
 
 import pytest
@@ -119,6 +121,34 @@ def test_checkpoints_of_earlier_rounds_go(spark):
     assert count() == before
 
 
+def test_shuffles_of_earlier_rounds_go(spark):
+    """Spark keeps them until the driver collects its garbage, which a driver with room left puts off."""
+    jvm = spark.sparkContext._jvm
+    held = lambda: jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
+
+    def least(most):
+        until = time.monotonic() + 10
+        while held() > most and time.monotonic() < until:
+            time.sleep(0.1)
+        return held()
+
+    gc.collect()
+    jvm.System.gc()
+    before = least(0)
+    with common.scratch(spark):
+        kept = jaccard.keep_one(docs(spark, corpus(random.Random(1), 60)))
+        assert least(before + 10) <= before + 10
+        assert kept.count()
+
+
+@pytest.mark.parametrize(("edges", "stars"), [([], True), ([(2, 1), (3, 1), (9, 4)], True), ([(2, 1), (3, 2)], False), ([(3, 1), (3, 2)], False)])
+def test_rounds_end_with_stars(spark, edges, stars):
+    df = spark.createDataFrame(edges, "u long, v long")
+    assert components._are_stars(df) == stars
+    after = sorted(map(tuple, components._small_star(components._large_star(df)).collect()))
+    assert (after == edges) == stars
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.similar_components(docs(spark, [])).count() == 0
     assert jaccard.keep_one(docs(spark, [])).count() == 0
